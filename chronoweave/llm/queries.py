@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import sentences, tokenizer
+from chronoweave.llm import packing, sentences, tokenizer
 from chronoweave.sources.tables import table
 
 
@@ -15,10 +15,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", tokenizer.token_ids(spark, F.col("text")).alias("ids"))
 
 
+CONTAINER_TOKENS = 2_048
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of 2,048 tokens."""
+    documents = table(spark, sf_dir, "documents")
+    lengths = documents.select(F.col("doc_id").alias("item_id"), tokenizer.token_count(spark, F.col("text")).alias("length"))
+    return packing.pack(lengths, CONTAINER_TOKENS).withColumnRenamed("item_id", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every document."""
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p8_found)}
 ORACLE: dict[str, str] = {}

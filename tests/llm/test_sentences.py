@@ -15,7 +15,7 @@ CASES = [
     ("ย้ายไฟล์ a.py ไปที่ใหม่แล้ว ทำไมแคชจึงล้มเหลว", ["ย้ายไฟล์ a.py ไปที่ใหม่แล้ว", "ทำไมแคชจึงล้มเหลว"]),
     ("Γιατί αποτυγχάνει; Χρειάζεται περ. 14 λεπτά.", ["Γιατί αποτυγχάνει;", "Χρειάζεται περ. 14 λεπτά."]),
     ("डॉ. A ने जाँच की। अभी न करें!", ["डॉ. A ने जाँच की।", "अभी न करें!"]),
-    ("« Pourquoi ? » demande A. Il dit : « Oui ! » Enfin !", ["« Pourquoi ? » demande A.", "Il dit : « Oui ! »", "Enfin !"]),
+    ("« Pourquoi ? » demande Alma. Il dit : « Oui ! » Enfin !", ["« Pourquoi ? » demande Alma.", "Il dit : « Oui ! »", "Enfin !"]),
     ("Am 3. Mai lief es, z. B. so. Laut A u. a. war es gut.", ["Am 3. Mai lief es, z. B. so.", "Laut A u. a. war es gut."]),
     ("it isn't. the dr. said so. stop!! fine.", ["it isn't.", "the dr. said so.", "stop!!", "fine."]),
 ]
