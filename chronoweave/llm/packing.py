@@ -208,7 +208,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     An empty table gives an empty result.
     """
     spark = items.sparkSession
-    pieces = materialize(pieces_of(items, capacity), "pieces")
+    lengths = materialize(items.select("item_id", "length"), "lengths")  # they may be costly to count: once is enough
+    pieces = materialize(pieces_of(lengths, capacity), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = plan_packing(histogram, capacity)
     places = _run_table(spark, runs)
