@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import packing, provenance, sentences, tokenizer
+from chronoweave.llm import names, packing, provenance, sentences, tokenizer
 from chronoweave.sources.tables import table
 
 
@@ -26,6 +26,11 @@ def p1_written_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of identities that stand for the same person or organisation."""
+    return names.identity_pairs(table(spark, sf_dir, "identities"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -47,5 +52,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_written_volume, p6_ids, p7_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_written_volume, p4_found, p6_ids, p7_containers, p8_found)}
 ORACLE: dict[str, str] = {}
