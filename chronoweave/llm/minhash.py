@@ -93,10 +93,10 @@ def similar_links(classes: DataFrame, threshold: float = SIMILARITY) -> DataFram
     Within a bucket every class is linked to one leader that it is similar to; together the links of all buckets hold the
     same components as all similar pairs that share a bucket with a leader in between.
     """
-    sets = classes.select("node", "shingles")
     members = classes.select("node", F.posexplode("bands").alias("band", "key"))
     crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     waiting = materialize(members.join(crowded.drop("n"), ["band", "key"]), "waiting")
+    sets = materialize(classes.select("node", "shingles").join(waiting.select("node").distinct(), "node", "left_semi"), "sets")
     found = []
     while True:
         leaders = waiting.groupBy("band", "key").agg(F.min("node").alias("leader"))
