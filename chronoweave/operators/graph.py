@@ -42,6 +42,52 @@ def _walk(key: tuple, entries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFram
     return pd.DataFrame(out, columns=["walk", "node", "inside"])
 
 
+def _follow(key: tuple, fronts: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """Each walk's line through a block: the nodes passed, and where it goes on."""
+    parents = dict(zip(block["node"], block["parent"], strict=True))
+    out = []
+    for walk, node in zip(fronts["walk"], fronts["node"], strict=True):
+        path, seen = [], set()
+        while node in parents and node not in seen:
+            seen.add(node)
+            path.append(node)
+            node = parents[node]
+        out.append((walk, path, None if node in seen or pd.isna(node) else node))
+    return pd.DataFrame(out, columns=["walk", "path", "next"])
+
+
+def follow(nodes: DataFrame, queries: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(walk, piece, path): the parent lines of the queries (node) in pieces, over nodes (node, parent, place)."""
+    spark = nodes.sparkSession
+    n = nodes.count()
+    parts = max(1, -(-n // block_nodes))
+    laid = nodes.coalesce(1) if parts == 1 else nodes.repartitionByRange(parts, "place", "node")
+    path = new_path(spark, "blocks")
+    laid.select("node", "parent", F.spark_partition_id().alias("block")).write.partitionBy("block").parquet(path)
+    blocks = spark.read.schema("node string, parent string, block int").parquet(path)
+    places = materialize(blocks.select("node", "block"), "places")
+    fronts = queries.select("node").distinct().join(places, "node").select(F.col("node").alias("walk"), "node", "block")
+    fronts, piece, pieces = materialize(fronts, "fronts"), 0, []
+    while not fronts.isEmpty():
+        entered = [r["block"] for r in fronts.select("block").distinct().collect()]
+        some = blocks.filter(F.col("block").isin(entered)).groupBy("block")
+        walked = fronts.groupBy("block").cogroup(some).applyInPandas(_follow, "walk string, path array<string>, next string")
+        walked = materialize(walked, "walked")
+        pieces.append(walked.select("walk", F.lit(piece).alias("piece"), "path"))
+        piece += 1
+        ahead = walked.filter("next IS NOT NULL").select("walk", F.col("next").alias("node"))
+        # a line that comes back to a node of an earlier piece goes round and is at its end
+        passed = pieces[0].select("walk", F.explode("path").alias("node"))
+        for more in pieces[1:]:
+            passed = passed.unionByName(more.select("walk", F.explode("path").alias("node")))
+        fronts = ahead.join(passed, ["walk", "node"], "left_anti").join(places, "node").select("walk", "node", "block")
+        fronts = materialize(fronts, "fronts")
+    out = pieces[0] if pieces else spark.createDataFrame([], "walk string, piece int, path array<string>")
+    for more in pieces[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def reachable(commits: DataFrame, starts: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(walk, node): all known nodes that the starts (walk, node) of a walk reach, themselves included, each once.
 

@@ -155,3 +155,81 @@ def _expand(rounds: list[tuple[DataFrame, bool]], ends: list[DataFrame]) -> Data
             closed = closed.unionByName(solved)
         solved = materialize(closed, "solved")
     return solved
+
+
+def _subtree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of ``weight`` over the part of each node's subtree that lies in its block."""
+    if not (parts := [f for f in frames if len(f)]):
+        return
+    block = pd.concat(parts, ignore_index=True)
+    ids = block["node"].to_numpy(object)
+    parents = block["parent"].to_numpy(object)
+    inside = np.where(pd.isna(parents), -1, pd.Index(ids).get_indexer(pd.Index(parents)))
+    total = block["weight"].to_numpy(np.int64).copy()
+    left = np.bincount(inside[inside >= 0], minlength=len(ids))
+    ready = list(np.flatnonzero(left == 0))  # leaves; a loop never becomes ready and keeps what hangs on it
+    while ready:
+        node = ready.pop()
+        above = inside[node]
+        if above >= 0:
+            total[above] += total[node]
+            left[above] -= 1
+            if left[above] == 0:
+                ready.append(above)
+    yield pd.DataFrame({"node": ids, "weight": total})
+
+
+def descendant_counts(nodes: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(node, n_descendants) of a forest (node, parent, place) as for ``resolve``; -1 for nodes whose line never ends.
+
+    Weights are raked towards the roots: a block hands the sum of each local tree to the node outside that its root points
+    at. Those nodes form the next forest, whose subtree sums are the same problem, smaller; its answers are the weights
+    that the blocks then add up once more.
+    """
+    known = nodes.select(F.col("node").alias("_k"))
+    forest = nodes.join(known, F.col("parent") == F.col("_k"), "left").select("node", F.col("_k").alias("parent"), "place", F.lit(1).cast("long").alias("weight"))
+    done = _subtree_sums(materialize(forest, "forest"), block_nodes)
+    endless = resolve(nodes, block_nodes).filter("depth < 0").select(F.col("node").alias("_e"))
+    joined = done.join(endless, F.col("node") == F.col("_e"), "left")
+    return joined.select("node", F.when(F.col("_e").isNotNull(), F.lit(-1)).otherwise(F.col("weight") - 1).cast("long").alias("n_descendants"))
+
+
+def _subtree_sums(forest: DataFrame, block_nodes: int) -> DataFrame:
+    """(node, weight): sums of weights over whole subtrees."""
+    n = forest.count()
+    laid = forest.coalesce(1) if n <= block_nodes else forest.repartitionByRange(-(-n // block_nodes), "place", "node")
+    if n <= block_nodes:
+        return materialize(laid.select("node", "parent", "weight").mapInPandas(_subtree, "node string, weight bigint"), "sums")
+    # the blocks are written, so that both passes see the same ones
+    blocks = materialize(laid.select("node", "parent", "place", "weight", F.spark_partition_id().alias("block")), "blocks")
+    links = blocks.groupBy("block").applyInPandas(_links_of_block, "node string, top string, open boolean")
+    links = materialize(links, "tops")
+    entering = links.filter("open").join(blocks.select("node", "weight"), "node").groupBy(F.col("top").alias("node")).agg(F.sum("weight").alias("weight"))
+    entries = entering.join(links.select("node", "top", "open"), "node").join(blocks.select("node", "place"), "node")
+    entries = materialize(entries.select("node", F.when(F.col("open"), F.col("top")).alias("parent"), "place", "weight"), "entries")
+    if entries.count() > 0.9 * n:
+        raise ValueError("the layout brings no neighbours together: give a place, or larger blocks")
+    above = _subtree_sums(entries, block_nodes).select(F.col("node").alias("_e"), F.col("weight").alias("_w"))
+    loaded = blocks.join(above, F.col("node") == F.col("_e"), "left").select("node", "parent", "block", (F.col("weight") + F.coalesce("_w", F.lit(0))).alias("weight"))
+    return materialize(loaded.groupBy("block").applyInPandas(lambda block: next(_subtree(iter([block])), block[["node", "weight"]]), "node string, weight bigint"), "sums")
+
+
+def _links_of_block(block: pd.DataFrame) -> pd.DataFrame:
+    ids = block["node"].to_numpy(object)
+    parents = block["parent"].to_numpy(object)
+    parents = np.where(pd.isna(parents), None, parents).astype(object)
+    top, _, _, kind = _contract(ids, parents, np.ones(len(ids), np.int64), ids)
+    return pd.DataFrame({"node": ids, "top": top, "open": kind == OPEN})
+
+
+def paths(nodes: DataFrame, queries: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(node, path): for each node of ``queries`` its line up to the root, itself first; a loop is listed once around.
+
+    Paths are long, so they come for a stated set of nodes. Each walk is carried by its front: a round extends all fronts
+    through their blocks at once, as in ``graph.reachable``, and keeps the pieces; they are put together by their number.
+    """
+    from chronoweave.operators.graph import follow
+
+    pieces = follow(nodes, queries, block_nodes)
+    ordered = F.array_sort(F.collect_list(F.struct("piece", "path")))
+    return pieces.groupBy(F.col("walk").alias("node")).agg(F.flatten(F.transform(ordered, lambda p: p["path"])).alias("path"))

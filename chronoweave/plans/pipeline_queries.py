@@ -67,7 +67,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("node").alias("oid"), F.col("root").alias("root_oid"), "depth")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_commits_per_email, p2_changes_per_path, p3_found, p3_session_durations, p5_found)}
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of descendants of every commit in its first-parent tree."""
+    done = hierarchy.descendant_counts(first_parent_forest(spark, sf_dir))
+    return done.select(F.col("node").alias("oid"), "n_descendants")
+
+
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths to the root of the commits whose oid ends in a number divisible by 100, against all commits."""
+    forest = first_parent_forest(spark, sf_dir)
+    last = F.conv(F.substring("node", -8, 8), 16, 10).cast("long")  # the number that the last 32 bits make
+    asked = forest.filter(last % 100 == 0)
+    done = hierarchy.paths(forest, asked.select("node"))
+    return done.select(F.col("node").alias("oid"), F.array_join("path", " ").alias("path"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_commits_per_email, p2_changes_per_path, p3_found, p3_session_durations, p5_found, p5_descendants, p5_paths)}
 
 _EMAIL = "nullif(lower(trim(author.email)), '')"
 _SESSIONS = f"""
@@ -108,5 +123,14 @@ WITH RECURSIVE held AS (SELECT oid, arg_max(struct_pack(p := parents[1]), extrac
 SELECT oid, root_oid, depth FROM down
 UNION ALL
 SELECT w.oid, min(w.place), CAST(-1 AS BIGINT) FROM walk w JOIN loops c ON w.place = c.oid GROUP BY w.oid
+""",
+    "p5_descendants": """
+WITH RECURSIVE held AS (SELECT oid, arg_max(struct_pack(p := parents[1]), extracted_at).p AS parent FROM commit_facts WHERE oid IS NOT NULL GROUP BY oid),
+     links AS (SELECT a.oid, b.oid AS parent FROM held a LEFT JOIN held b ON a.parent = b.oid),
+     walk AS (SELECT oid, parent AS above FROM links WHERE parent IS NOT NULL UNION SELECT w.oid, l.parent FROM walk w JOIN links l ON w.above = l.oid WHERE l.parent IS NOT NULL),
+     loops AS (SELECT oid FROM walk WHERE oid = above),
+     endless AS (SELECT oid FROM loops UNION SELECT w.oid FROM walk w JOIN loops c ON w.above = c.oid)
+SELECT h.oid, CASE WHEN h.oid IN (SELECT oid FROM endless) THEN -1 ELSE count(w.oid) END AS n_descendants
+FROM held h LEFT JOIN walk w ON w.above = h.oid GROUP BY h.oid
 """,
 }

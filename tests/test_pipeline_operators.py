@@ -132,3 +132,41 @@ def test_chain_in_an_order_that_does_not_help(spark):
 
 def test_empty_forest(spark):
     assert hierarchy.resolve(spark.createDataFrame([], "node string, parent string, place int")).collect() == []
+
+
+def brute_descendants(links):
+    def line(node):
+        seen, at = [], node
+        while at in links and at not in seen:
+            seen.append(at)
+            at = links[at]
+        return seen, at in seen
+
+    counts = dict.fromkeys(links, 0)
+    for node in links:
+        path, round_ = line(node)
+        on_loop = round_ and links[path[-1]] == node
+        if not on_loop:
+            for above in path[1:]:
+                counts[above] += 1
+    return counts
+
+
+def test_descendants_and_paths(spark):
+    random.seed(13)
+    links = {f"{i:04d}": f"{random.randrange(max(0, i - 6), i):04d}" if i else None for i in range(500)}
+    links |= {"m": "gone"}
+    df = spark.createDataFrame([(n, p, int(n) if n.isdigit() else -1) for n, p in links.items()], "node string, parent string, place int")
+    loops = links | {"x1": "x2", "x2": "x1", "t": "x1", "u": "t"}
+    looped = spark.createDataFrame([(n, p, 0) for n, p in loops.items()], "node string, parent string, place int")
+    for block in (10_000, 90):
+        assert {r.node: r.n_descendants for r in hierarchy.descendant_counts(df, block).collect()} == brute_descendants(links)
+    got = {r.node: r.n_descendants for r in hierarchy.descendant_counts(looped).collect()}
+    assert got == brute_descendants(links) | {"x1": -1, "x2": -1, "t": -1, "u": -1}
+    asked = spark.createDataFrame([("0499",), ("0250",), ("m",), ("u",), ("none",)], "node string")
+    for block in (10_000, 90):
+        paths = {r.node: r.path for r in hierarchy.paths(looped, asked, block).collect()}
+        assert set(paths) == {"0499", "0250", "m", "u"} and paths["m"] == ["m"] and paths["u"] == ["u", "t", "x1", "x2"]
+        for node in ("0499", "0250"):
+            path = paths[node]
+            assert path[0] == node and path[-1] == "0000" and all(links[a] == b for a, b in zip(path, path[1:], strict=False))
