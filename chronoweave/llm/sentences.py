@@ -66,9 +66,8 @@ TRAILER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):\s+\S")
 UNDERLINE = re.compile(r"\s{0,3}(?:=+|-{3,})\s*$")
 LINES = re.compile(r"[^\n]*(?:\n|$)")
 
-ENDS = "!?…。！？｡．؟।॥‼⁇⁈⁉"
 WIDE_ENDS = frozenset("。！？｡．")
-MARKS = re.compile(rf"(`+)(?:(?!\1).)+?\1|https?://[^\s<>　-鿿＀-￯]*[^\s<>　-鿿＀-￯.,;:!?…)\]\"'»”]|[.{ENDS};]+|[\"'“”„‘’«»‹›「」『』（）()\[\]{{}}《》〈〉【】]", re.DOTALL)
+MARKS = re.compile(r"(`+)(?:(?!\1).)+?\1|https?://[^\s<>　-鿿＀-￯]*[^\s<>　-鿿＀-￯.,;:!?…)\]\"'»”]|[。！？｡．][。！？｡．!?…]*|[.!?…؟।॥‼⁇⁈⁉;]+|[\"'“”„‘’«»‹›「」『』（）()\[\]{}《》〈〉【】]", re.DOTALL)
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】"}
 CLOSERS = {v: k for k, v in PAIRS.items()}
 QUOTES = {"“": "”", "„": "“", "‘": "’", "«": "»", "»": "«", "‹": "›", "›": "‹"}
@@ -187,12 +186,12 @@ def _full_stop_ends(block: str, start: int, at: int, after: str, lower: bool) ->
     word = word_match.group() if word_match else ""
     if not word:
         return block[at - 1 : at] != "" and not block[at - 1].isspace()
-    first = after[:1]
+    first = after.lstrip("\"'“‘„«»‹「([{")[:1]
     low = word.lower().strip(",;:'’")
     verdict = _abbreviation(low)
     next_word = re.match(r"[\w'’-]+", after)
     follows = next_word.group().lower() if next_word else ""
-    if verdict is None and "." in low and (tail := low.rsplit(".", 1)[1]) and len(tail) == 1 and re.fullmatch(r"(?:\w\.)+\w", low):
+    if verdict is None and "." in low and (tail := low.rsplit(".", 1)[1]) and len(tail) == 1 and re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", low):
         verdict = "maybe"  # letters with full stops
     if len(low) == 1 and low.isalpha() and not CJK.match(low):
         if not after:
@@ -232,6 +231,10 @@ def _full_stop_ends(block: str, start: int, at: int, after: str, lower: bool) ->
 def _sentences(block: str, lower: bool) -> Iterator[tuple[int, int]]:
     """(start, end) of the sentences of a divisible block."""
     marks = [(m.start(), m.end(), m.group()) for m in MARKS.finditer(block)]
+    if block == block.lower():
+        lower = lower or len(block) > 40
+    elif lower:
+        lower = (prose := NOT_PROSE_SPANS.sub("", block)) == prose.lower()
     partner = _pairs(block, [m for m in marks if len(m[2]) == 1])
     length = len(block)
     item = ITEM.match(block)
@@ -256,7 +259,7 @@ def _sentences(block: str, lower: bool) -> Iterator[tuple[int, int]]:
             continue
         if ";" in mark and not (mark == ";" and "Ͱ" <= block[a - 1 : a] <= "Ͽ"):
             continue
-        wide = mark[-1] in WIDE_ENDS
+        wide = lead in WIDE_ENDS
         closed, end = [], b
         while True:  # closing marks right behind, or behind one space inside guillemets
             gap = end
@@ -287,7 +290,7 @@ def _sentences(block: str, lower: bool) -> Iterator[tuple[int, int]]:
                 cuts.append(end)
                 start = end
                 continue
-            if CJK.match(after) and not spaced:
+            if (wide or CJK.match(after)) and not spaced:
                 if "가" <= after[0] <= "힣":
                     goes_on = True
                 elif opener in "「『":
@@ -371,6 +374,9 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 NOT_PROSE = re.compile(r"(`+)(?:(?!\1).)+?\1|https?://\S+|^[A-Za-z][\w-]*: .*$|^\s*#{1,6} .*$|\A.*$", re.MULTILINE)
 
 
+NOT_PROSE_SPANS = re.compile(r"(`+)(?:(?!\1).)+?\1|https?://\S+", re.DOTALL)
+
+
 def _without_capitals(text: str) -> bool:
     """Whether the author of a text writes it all in lower case, as is told by its prose."""
     prose = NOT_PROSE.sub("", text)
