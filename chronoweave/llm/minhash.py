@@ -10,6 +10,9 @@ its least neighbour, again until no link is left between components.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,13 +69,33 @@ def band_keys(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
     return keys.view(np.int64), classes.view(np.int64)
 
 
-def _leaders_within(threshold: float):
-    """Links of one small bucket: each class to the first leader it is similar to, or a leader itself."""
+def by_group(df: DataFrame, keys: list[str], columns: list[str], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """``work`` on the rows (``columns``) of every group of ``keys``, for groups that are small and many.
+
+    Groups come sorted through a partition, one at a time, so a task holds one group and starts nothing for each.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for frame in frames for row in zip(*(frame[c] for c in (*keys, *columns)), strict=True))
+        out: list[tuple] = []
+        for _, group in groupby(rows, key=lambda row: row[: len(keys)]):
+            out += work([row[len(keys) :] for row in group])
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out, columns=names)
+
+    return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _leaders_within(threshold: float) -> Callable[[list[tuple]], list[tuple]]:
+    """Links of one small bucket of (node, shingles): each class to the first leader it is similar to, or a leader itself."""
 
-    def link(bucket: pd.DataFrame) -> pd.DataFrame:
+    def link(bucket: list[tuple]) -> list[tuple]:
         leaders: list[tuple[str, frozenset]] = []
         out = []
-        for node, shingles in sorted(zip(bucket["node"], bucket["shingles"], strict=True), key=lambda x: x[0]):
+        for node, shingles in sorted(bucket, key=lambda x: x[0]):
             own = frozenset(shingles)
             for leader, other in leaders:
                 common = len(own & other)
@@ -81,7 +104,7 @@ def _leaders_within(threshold: float):
                     break
             else:
                 leaders.append((node, own))
-        return pd.DataFrame(out, columns=["node", "leader"])
+        return out
 
     return link
 
@@ -109,7 +132,7 @@ def similar_links(classes: DataFrame, threshold: float = SIMILARITY) -> DataFram
         waiting = materialize(pairs.join(links, ["node", "leader"], "left_anti").select("node", "band", "key"), "waiting")
         if waiting.groupBy("band", "key").count().filter(F.col("count") > SMALL_BUCKET).isEmpty():
             break
-    small = waiting.join(sets, "node").groupBy("band", "key").applyInPandas(_leaders_within(threshold), "node string, leader string")
+    small = by_group(waiting.join(sets, "node"), ["band", "key"], ["node", "shingles"], _leaders_within(threshold), "node string, leader string")
     found.append(materialize(small, "links"))
     out = found[0]
     for links in found[1:]:
