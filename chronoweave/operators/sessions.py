@@ -75,52 +75,67 @@ class SessionTable:
     """Versions of a session table, with the ids of the events it holds, in a folder all executors can reach.
 
     ``apply(batch)`` takes (event_id, key, ts). Events whose id the table holds are left out, as are repeats within the
-    batch, so a batch that is applied twice changes nothing. A version is written as a draft and committed by the one
-    rename that gives the folder its name: readers see the state before or after, never a part, and an attempt that
-    fails leaves only a draft that the next one overwrites.
+    batch, so a batch that is applied twice changes nothing. Sessions lie in buckets of keys; a version writes only the
+    buckets that its batch touches and a manifest that says for every bucket which version holds it. All of it is written
+    as a draft and committed by the one rename that gives the folder its name: readers see the state before or after,
+    never a part, and an attempt that fails leaves only a draft that the next one overwrites.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, gap: int = GAP_SECONDS):
-        self.spark, self.path, self.gap = spark, path or new_path(spark, "sessions"), gap
+    def __init__(self, spark: SparkSession, path: str | None = None, gap: int = GAP_SECONDS, buckets: int = 16):
+        self.spark, self.path, self.gap, self.buckets = spark, path or new_path(spark, "sessions"), gap, buckets
         jvm = spark.sparkContext._jvm
         self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._jpath = jvm.org.apache.hadoop.fs.Path
         self._fs.mkdirs(self._jpath(self.path))
 
     def version(self) -> int:
-        """The newest committed version, 0 for none. A version is committed by the rename that gives it its name."""
+        """The newest committed version, 0 for none."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._jpath(self.path))]
         return max([0, *(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())])
 
-    def read(self) -> DataFrame:
-        if not (at := self.version()):
+    def _manifest(self, version: int) -> dict[int, int]:
+        """{bucket: version that holds it}; at most ``buckets`` rows."""
+        if not version:
+            return {}
+        rows = self.spark.read.schema("bucket int, version int").json(f"{self.path}/v{version}/manifest").collect()
+        return {r["bucket"]: r["version"] for r in rows}
+
+    def _sessions(self, holders: dict[int, int]) -> DataFrame:
+        if not holders:
             return self.spark.createDataFrame([], SESSION)
-        return self.spark.read.schema(SESSION).parquet(f"{self.path}/v{at}/sessions")
+        return self.spark.read.schema(SESSION).parquet(*[f"{self.path}/v{v}/sessions/bucket={b}" for b, v in sorted(holders.items())])
+
+    def read(self) -> DataFrame:
+        return self._sessions(self._manifest(self.version()))
 
-    def _seen(self) -> DataFrame:
-        if not (at := self.version()):
-            return self.spark.createDataFrame([], "event_id string")
-        return self.spark.read.schema("event_id string").parquet(*[f"{self.path}/v{i}/events" for i in range(1, at + 1)])
+    def _seen(self, version: int) -> DataFrame:
+        return self.spark.read.schema("event_id string").parquet(*[f"{self.path}/v{i}/events" for i in range(1, version + 1)])
 
     def apply(self, batch: DataFrame) -> int:
         """Merges a batch and returns the new version."""
         at = self.version()
         fresh = batch.filter(F.col("key").isNotNull() & F.col("ts").isNotNull()).groupBy("event_id").agg(F.min_by(F.struct("key", "ts"), F.struct("ts", "key")).alias("_e"))
         if at:
-            fresh = fresh.join(self._seen(), "event_id", "left_anti")
+            fresh = fresh.join(self._seen(at), "event_id", "left_anti")
         draft = f"{self.path}/draft-{at + 1}"
-        fresh.select("event_id", "_e.key", "_e.ts").write.mode("overwrite").parquet(f"{draft}/batch")
-        events = self.spark.read.schema("event_id string, key string, ts bigint").parquet(f"{draft}/batch")
+        self._fs.delete(self._jpath(draft), True)
+        fresh.select("event_id", "_e.key", "_e.ts").write.parquet(f"{draft}/events")
+        events = self.spark.read.schema("event_id string, key string, ts bigint").parquet(f"{draft}/events")
+        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
+        touched = [r["bucket"] for r in events.select(bucket).distinct().collect()]  # at most `buckets` numbers
+        holders = self._manifest(at)
+        stored = {b: v for b, v in holders.items() if b in touched}
         local = local_sessions(events, self.gap)
-        merged = self._merge(local) if at else local
-        merged.write.mode("overwrite").parquet(f"{draft}/sessions")
-        events.select("event_id").write.mode("overwrite").parquet(f"{draft}/events")
-        self._fs.delete(self._jpath(f"{draft}/batch"), True)
+        merged = self._merge(self._sessions(stored), local) if stored else local
+        if touched:
+            merged.select("*", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{draft}/sessions")
+        manifest = sorted((holders | dict.fromkeys(touched, at + 1)).items())
+        self.spark.createDataFrame(manifest, "bucket int, version int").coalesce(1).write.json(f"{draft}/manifest")
         if not self._fs.rename(self._jpath(draft), self._jpath(f"{self.path}/v{at + 1}")):
             raise RuntimeError(f"version {at + 1} of {self.path} was committed by another writer")
         return at + 1
 
-    def _merge(self, local: DataFrame) -> DataFrame:
+    def _merge(self, stored: DataFrame, local: DataFrame) -> DataFrame:
         """Stored sessions near a local one are merged with it; all others pass through untouched.
 
         Near is decided by coarse time cells of both sides: a stored session is affected if it covers or adjoins a cell
@@ -130,15 +145,14 @@ class SessionTable:
         wide = self.gap * 16
         cells = lambda: F.explode(F.sequence(F.floor((F.col("start_ts") - self.gap) / wide), F.floor((F.col("end_ts") + self.gap) / wide)))
         touched = local.select("key", cells().alias("_cell")).distinct()
-        stored = self.read()
-        met = stored.select("*", cells().alias("_cell")).join(touched, ["key", "_cell"], "left_semi").select("key", "start_ts").distinct()
-        affected = stored.join(met, ["key", "start_ts"], "left_semi")
-        rest = stored.join(met, ["key", "start_ts"], "left_anti")
+        met = stored.select("key", "start_ts", cells().alias("_cell")).join(touched, ["key", "_cell"], "left_semi").select("key", "start_ts", F.lit(True).alias("_met")).distinct()
+        marked = stored.join(met, ["key", "start_ts"], "left")
         columns = ["key", "start_ts", "end_ts", "n_events"]
-        return rest.select(*columns).unionByName(merge_spans(affected.select(*columns).unionByName(local.select(*columns)), self.gap))
+        affected = marked.filter("_met").select(*columns)
+        return marked.filter("_met IS NULL").select(*columns).unionByName(merge_spans(affected.unionByName(local.select(*columns)), self.gap))
 
 
-def sessions_in_batches(events: DataFrame, arrival: str, n_batches: int = 3, gap: int = GAP_SECONDS, path: str | None = None) -> DataFrame:
+def sessions_in_batches(events: DataFrame, arrival: str, n_batches: int = 2, gap: int = GAP_SECONDS, path: str | None = None) -> DataFrame:
     """All sessions of (event_id, key, ts, arrival), built by applying the events to a session table in order of arrival.
 
     The batches are cut at quantiles of ``arrival``; rows without an arrival time come with the last batch. Where the
