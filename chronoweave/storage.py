@@ -23,8 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A path of its own in the shared folder; ``clean`` removes what lies there."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes all intermediate tables made so far, to be called once no result that reads them is needed any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    removed = 0
+    while _made:
+        path = hadoop(_made.pop())
+        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
