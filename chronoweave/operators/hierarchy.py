@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.storage import materialize
@@ -108,12 +108,13 @@ def resolve(nodes: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(node, root, depth) of every node of ``nodes`` (node string, parent string, place).
 
     ``node`` must be unique and not null. A null ``parent``, or one that is no node, makes a root of depth 0. ``place`` is
-    any sortable hint that brings neighbours together; it may be null and affects speed only. A node whose line never
+    any sortable hint that brings neighbours together; it may be null and affects speed only. Where ``nodes`` has ``steps``,
+    positive lengths of the links, depth sums them. A node whose line never
     ends gets the least node of the loop as its root and depth -1; a node that is its own parent is a loop of one. An
     empty table gives an empty result.
     """
     known = nodes.select(F.col("node").alias("_k"))
-    forest = nodes.join(known, F.col("parent") == F.col("_k"), "left").select("node", F.col("_k").alias("parent"), F.lit(1).cast("long").alias("steps"), F.col("node").alias("low"), "place")
+    forest = nodes.join(known, F.col("parent") == F.col("_k"), "left").select("node", F.col("_k").alias("parent"), (F.col("steps") if "steps" in nodes.columns else F.lit(1)).cast("long").alias("steps"), F.col("node").alias("low"), "place")
     forest = materialize(forest, "forest")
     n, turn, splicing = forest.count(), 0, False
     records: list[tuple[DataFrame, bool]] = []
@@ -184,14 +185,42 @@ def descendant_counts(nodes: DataFrame, block_nodes: int = BLOCK_NODES) -> DataF
 
     Weights are raked towards the roots: a block hands the sum of each local tree to the node outside that its root points
     at. Those nodes form the next forest, whose subtree sums are the same problem, smaller; its answers are the weights
-    that the blocks then add up once more.
+    that the blocks then add up once more. Where the layout brings no neighbours together, splicing takes over.
     """
-    known = nodes.select(F.col("node").alias("_k"))
-    forest = nodes.join(known, F.col("parent") == F.col("_k"), "left").select("node", F.col("_k").alias("parent"), "place", F.lit(1).cast("long").alias("weight"))
+    return _counted(nodes, resolve(nodes, block_nodes), block_nodes)
+
+
+def _counted(nodes: DataFrame, resolved: DataFrame, block_nodes: int) -> DataFrame:
+    """``descendant_counts`` with what ``resolve`` gave. Nodes whose line never ends stay out, so that sums run over trees."""
+    ended, endless = (resolved.filter(c).select(F.col("node").alias("_k")) for c in ("depth >= 0", "depth < 0"))
+    own = nodes.join(ended, F.col("node") == F.col("_k"), "left_semi").select("node", "parent", "place", F.lit(1).cast("long").alias("weight"))
+    forest = own.join(ended, F.col("parent") == F.col("_k"), "left").select("node", F.col("_k").alias("parent"), "place", "weight")
     done = _subtree_sums(materialize(forest, "forest"), block_nodes)
-    endless = resolve(nodes, block_nodes).filter("depth < 0").select(F.col("node").alias("_e"))
-    joined = done.join(endless, F.col("node") == F.col("_e"), "left")
-    return joined.select("node", F.when(F.col("_e").isNotNull(), F.lit(-1)).otherwise(F.col("weight") - 1).cast("long").alias("n_descendants"))
+    return done.select("node", (F.col("weight") - 1).alias("n_descendants")).unionByName(endless.select(F.col("_k").alias("node"), F.lit(-1).cast("long").alias("n_descendants")))
+
+
+def intervals(nodes: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(node, parent, root, depth, enter, leave) of every node: all paths and descendants in one row a node.
+
+    ``enter`` numbers the nodes of a tree in preorder from 0, ``leave`` is the number of the last descendant. The
+    descendants of a node are the nodes of its root with enter < their enter <= leave; its path to the root are those with
+    their enter <= enter <= their leave, by falling depth. Nodes whose line never ends have depth -1 and no interval;
+    their line is told by ``parent``, which is null for roots.
+
+    A node enters after its parent and the subtrees of its lesser siblings, so ``enter`` is the sum of these distances up
+    to the root, which ``resolve`` adds up like steps.
+    """
+    resolved = resolve(nodes, block_nodes)
+    known = nodes.select(F.col("node").alias("_k"))
+    linked = nodes.join(known, F.col("parent") == F.col("_k"), "left").select("node", F.col("_k").alias("parent"), "place")
+    sized = materialize(linked.join(_counted(nodes, resolved, block_nodes), "node"), "sized")
+    lesser = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    inner = sized.filter("parent IS NOT NULL AND n_descendants >= 0").withColumn("steps", 1 + F.coalesce(F.sum(F.col("n_descendants") + 1).over(lesser), F.lit(0)))
+    roots = sized.filter("parent IS NULL").withColumn("steps", F.lit(1).cast("long"))
+    entered = resolve(inner.select("node", "parent", "place", "steps").unionByName(roots.select("node", "parent", "place", "steps")), block_nodes)
+    entered = entered.select("node", F.col("depth").alias("enter"))
+    joined = resolved.join(sized.select("node", "parent", "n_descendants"), "node").join(entered, "node", "left")
+    return joined.select("node", "parent", "root", "depth", "enter", (F.col("enter") + F.col("n_descendants")).alias("leave"))
 
 
 def _subtree_sums(forest: DataFrame, block_nodes: int) -> DataFrame:
@@ -208,12 +237,41 @@ def _subtree_sums(forest: DataFrame, block_nodes: int) -> DataFrame:
     entries = entering.join(links.select("node", "top", "open"), "node").join(blocks.select("node", "place"), "node")
     entries = materialize(entries.select("node", F.when(F.col("open"), F.col("top")).alias("parent"), "place", "weight"), "entries")
     if entries.count() > 0.9 * n:
-        raise ValueError("the layout brings no neighbours together: give a place, or larger blocks")
+        return _spliced_sums(forest, n, block_nodes)
     above = _subtree_sums(entries, block_nodes).select(F.col("node").alias("_e"), F.col("weight").alias("_w"))
     loaded = blocks.join(above, F.col("node") == F.col("_e"), "left").select("node", "parent", "block", (F.col("weight") + F.coalesce("_w", F.lit(0))).alias("weight"))
     return materialize(loaded.groupBy("block").applyInPandas(lambda block: next(_subtree(iter([block])), block[["node", "weight"]]), "node string, weight bigint"), "sums")
 
 
+def _spliced_sums(forest: DataFrame, n: int, block_nodes: int) -> DataFrame:
+    """``_subtree_sums`` where the layout brings no neighbours together: leaves are raked and unary chains spliced in turn.
+
+    A leaf hands its weight to its parent and has its sum. A node taken out of a chain hands its weight up too; its sum is
+    its weight and the sum of the node below. Half of the nodes of a tree at least are leaves or unary, so it shrinks.
+    """
+    draw = lambda turn, c: F.pmod(F.xxhash64(F.lit(turn), F.col(c)), F.lit(2))
+    taken, turn = [], 0
+    while n > block_nodes:
+        turn += 1
+        below = forest.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child"))
+        unary = (F.col("n") == 1) & (draw(turn, "node") == 0) & (draw(turn, "child") == 1) & F.col("parent").isNotNull()
+        out = F.col("n").isNull() if turn % 2 else F.coalesce(unary, F.lit(False))
+        marked = materialize(forest.join(below, F.col("node") == F.col("p"), "left").select("node", "parent", "place", "weight", "child", out.alias("out")), "marked")
+        gone = marked.filter("out")
+        taken.append(gone.select("node", "weight", "child"))
+        handed = gone.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("h")).agg(F.sum("weight").alias("more"))
+        past = gone.select(F.col("node").alias("g"), F.col("parent").alias("g_parent"))
+        rest = marked.filter("NOT out").join(handed, F.col("node") == F.col("h"), "left").join(past, F.col("parent") == F.col("g"), "left")
+        forest = materialize(rest.select("node", F.coalesce("g_parent", "parent").alias("parent"), "place", (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight")), "forest")
+        n = forest.count()
+    sums = _subtree_sums(forest, block_nodes)
+    for gone in reversed(taken):
+        under = sums.select(F.col("node").alias("u"), F.col("weight").alias("under"))
+        own = gone.join(under, F.col("child") == F.col("u"), "left").select("node", (F.col("weight") + F.coalesce("under", F.lit(0))).alias("weight"))
+        sums = materialize(sums.unionByName(own), "sums")
+    return sums
+
+
 def _links_of_block(block: pd.DataFrame) -> pd.DataFrame:
     ids = block["node"].to_numpy(object)
     parents = block["parent"].to_numpy(object)

@@ -74,12 +74,9 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths to the root of the commits whose oid ends in a number divisible by 100, against all commits."""
-    forest = first_parent_forest(spark, sf_dir)
-    last = F.conv(F.substring("node", -8, 8), 16, 10).cast("long")  # the number that the last 32 bits make
-    asked = forest.filter(last % 100 == 0)
-    done = hierarchy.paths(forest, asked.select("node"))
-    return done.select(F.col("node").alias("oid"), F.array_join("path", " ").alias("path"))
+    """Path and descendants of every commit as an interval of its tree's preorder, as ``hierarchy.intervals`` says."""
+    done = hierarchy.intervals(first_parent_forest(spark, sf_dir))
+    return done.select(F.col("node").alias("oid"), F.col("parent").alias("parent_oid"), F.col("root").alias("root_oid"), "depth", "enter", "leave")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_commits_per_email, p2_changes_per_path, p3_found, p3_session_durations, p5_found, p5_descendants, p5_paths)}

@@ -170,3 +170,32 @@ def test_descendants_and_paths(spark):
         for node in ("0499", "0250"):
             path = paths[node]
             assert path[0] == node and path[-1] == "0000" and all(links[a] == b for a, b in zip(path, path[1:], strict=False))
+
+
+def test_intervals_give_all_paths_and_descendants(spark):
+    random.seed(14)
+    links = {f"{i:04d}": f"{random.randrange(max(0, i - 6), i):04d}" if i else None for i in range(300)}
+    links |= {"m": "gone", "n": "m", "x1": "x2", "x2": "x1", "t": "x1"}
+    df = spark.createDataFrame([(n, p, None) for n, p in links.items()], "node string, parent string, place int")
+    for block in (10_000, 90):
+        got = {r.node: r for r in hierarchy.intervals(df, block).collect()}
+        assert set(got) == set(links) and {n: (r.root, r.depth) for n, r in got.items()} == brute_forest(links)
+        for node, r in got.items():
+            if r.depth < 0:
+                assert r.enter is None and r.leave is None and r.parent == links[node]
+                continue
+            path = sorted((a for a in got.values() if a.root == r.root and a.enter is not None and a.enter <= r.enter <= a.leave), key=lambda a: -a.depth)
+            want, at = [], node
+            while at in links:
+                want.append(at)
+                at = links[at]
+            assert [a.node for a in path] == want
+
+
+def test_descendants_without_a_layout(spark):
+    random.seed(15)
+    order = list(range(500))
+    random.shuffle(order)
+    links = {f"{order[i]:04d}": f"{order[max(0, i - random.choice((1, 1, 1, 4)))]:04d}" if i else None for i in range(500)}
+    df = spark.createDataFrame([(n, p, None) for n, p in links.items()], "node string, parent string, place int")
+    assert {r.node: r.n_descendants for r in hierarchy.descendant_counts(df, 30).collect()} == brute_descendants(links)
