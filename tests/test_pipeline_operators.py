@@ -199,3 +199,11 @@ def test_descendants_without_a_layout(spark):
     links = {f"{order[i]:04d}": f"{order[max(0, i - random.choice((1, 1, 1, 4)))]:04d}" if i else None for i in range(500)}
     df = spark.createDataFrame([(n, p, None) for n, p in links.items()], "node string, parent string, place int")
     assert {r.node: r.n_descendants for r in hierarchy.descendant_counts(df, 30).collect()} == brute_descendants(links)
+
+
+def test_sessions_come_in_three_batches(spark, tmp_path):
+    events = spark.createDataFrame([(f"e{i}", "k", i * 60, i) for i in range(30)], "event_id string, key string, ts bigint, day int")
+    events = events.withColumn("at", events.day.cast("long").cast("timestamp"))
+    path = f"{tmp_path}/sessions"
+    assert rows(sessions.sessions_in_batches(events, "at", gap=100, path=path)) == [("k", 0, 29 * 60, 30)]
+    assert sessions.SessionTable(spark, path).version() == 3
