@@ -1,10 +1,11 @@
 """MinHash banding with exact verification, over classes of equal shingle sets.
 
 A class is what all items with one shingle set have in common, so copies cost one entry. Classes that share a band meet in
-its bucket; there each is compared with the bucket's leader. Of those that are not similar to it the next leader is taken,
-and so on until all have met one: joins while a bucket is large, one bounded task for what is left of a small one. No bucket
-is ever expanded into its pairs. Similar means an exact Jaccard index of at least
-the threshold. Connected components of these links are found by contracting the forest in which each component points at
+its bucket. In a small bucket every class is compared with all others that it isn't connected with yet, in one task. A large
+one is thinned out first: a leader is drawn for each bucket and band, all its classes are compared with it, and of those that
+were similar to none the next leader is drawn, by joins, until few are left. These are then compared with each other and with
+all classes of the bucket, block by block. No bucket is ever expanded into its pairs. Similar means an exact Jaccard index of
+at least the threshold. Connected components of these links are found by contracting the forest in which each component points at
 its least neighbour, again until no link is left between components.
 """
 
@@ -89,51 +90,79 @@ def by_group(df: DataFrame, keys: list[str], columns: list[str], work: Callable[
     return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def _leaders_within(threshold: float) -> Callable[[list[tuple]], list[tuple]]:
-    """Links of one small bucket of (node, shingles): each class to the first leader it is similar to, or a leader itself."""
+def _links_within(threshold: float) -> Callable[[list[tuple]], list[tuple]]:
+    """Links of one bounded group of (node, shingles, seed): the least ones that connect what is similar.
+
+    Where some are seeds, only pairs with a seed are compared, else all. Pairs that are connected already are passed over,
+    as are those whose sizes rule the threshold out.
+    """
 
     def link(bucket: list[tuple]) -> list[tuple]:
-        leaders: list[tuple[str, frozenset]] = []
+        bucket = sorted(((node, frozenset(shingles), seed) for node, shingles, seed in bucket), key=lambda x: (len(x[1]), x[0]))
+        seeded = any(seed for *_, seed in bucket)
+        group = list(range(len(bucket)))
+
+        def root(i: int) -> int:
+            while group[i] != i:
+                group[i] = i = group[group[i]]
+            return i
+
         out = []
-        for node, shingles in sorted(bucket, key=lambda x: x[0]):
-            own = frozenset(shingles)
-            for leader, other in leaders:
-                common = len(own & other)
-                if common >= threshold * (len(own) + len(other) - common):
-                    out.append((node, leader))
+        for i, (node, own, seed) in enumerate(bucket):
+            for j in range(i - 1, -1, -1):
+                other, theirs, other_seed = bucket[j]
+                if len(theirs) < threshold * len(own):
                     break
-            else:
-                leaders.append((node, own))
+                if seeded and not (seed or other_seed) or root(i) == root(j):
+                    continue
+                common = len(own & theirs)
+                if common >= threshold * (len(own) + len(theirs) - common):
+                    out.append((node, other))
+                    group[root(i)] = root(j)
         return out
 
     return link
 
 
-def similar_links(classes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def similar_links(classes: DataFrame, threshold: float = SIMILARITY, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """(a, b) links between classes (node string, bands array<bigint>, shingles array<bigint>), each verified exactly.
 
-    Within a bucket every class is linked to one leader that it is similar to; together the links of all buckets hold the
-    same components as all similar pairs that share a bucket with a leader in between.
+    In buckets of at most ``small_bucket`` classes the links connect all similar pairs. In larger ones they connect every
+    class with a leader that it is similar to, and all classes with those similar to no leader; what of two leaders'
+    classes is similar only to each other meets again in its other bands, whose leaders are drawn anew.
     """
     members = classes.select("node", F.posexplode("bands").alias("band", "key"))
     crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    waiting = materialize(members.join(crowded.drop("n"), ["band", "key"]), "waiting")
-    sets = materialize(classes.select("node", "shingles").join(waiting.select("node").distinct(), "node", "left_semi"), "sets")
-    found = []
-    while True:
-        leaders = waiting.groupBy("band", "key").agg(F.min("node").alias("leader"))
-        pairs = materialize(waiting.join(leaders, ["band", "key"]).filter(F.col("node") != F.col("leader")), "pairs")
+    members = materialize(members.join(crowded, ["band", "key"]), "members")
+    sets = materialize(classes.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi"), "sets")
+    small = members.filter(F.col("n") <= small_bucket).select("node", "band", "key", F.lit(False).alias("seed"))
+    large = members.filter(F.col("n") > small_bucket).select("node", "band", "key")
+    schema, columns = "node string, leader string", ["node", "shingles", "seed"]
+    found = [materialize(by_group(small.join(sets, "node"), ["band", "key"], columns, _links_within(threshold), schema), "links")]
+    waiting = large
+    while not waiting.isEmpty():
+        drawn = waiting.groupBy("band", "key").agg(F.min_by("node", F.xxhash64("node", "band")).alias("leader"), F.count(F.lit(1)).alias("n"))
+        few = drawn.filter(F.col("n") <= small_bucket).select("band", "key")
+        if not few.isEmpty():
+            # what is left of a bucket is compared with all of it: block by block, each with all that is left
+            left = waiting.join(few, ["band", "key"], "left_semi").withColumn("seed", F.lit(True))
+            sizes = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / small_bucket).cast("int").alias("blocks"))
+            rest = large.join(few, ["band", "key"], "left_semi").join(left, ["node", "band", "key"], "left_anti").join(sizes, ["band", "key"])
+            placed = rest.select("node", "band", "key", F.lit(False).alias("seed"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+            seeds = left.join(sizes, ["band", "key"]).select("node", "band", "key", "seed", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            last = by_group(placed.unionByName(seeds).join(sets, "node"), ["band", "key", "block"], columns, _links_within(threshold), schema)
+            found.append(materialize(last, "links"))
+        drawn = drawn.filter(F.col("n") > small_bucket).select("band", "key", "leader")
+        pairs = materialize(large.join(drawn, ["band", "key"]).filter(F.col("node") != F.col("leader")), "pairs")
         distinct = pairs.select("node", "leader").distinct()
         both = distinct.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("others")), "leader")
         common = F.size(F.array_intersect("shingles", "others"))
         alike = common >= threshold * (F.size("shingles") + F.size("others") - common)
         links = materialize(both.filter(alike).select("node", "leader"), "links")
         found.append(links)
-        waiting = materialize(pairs.join(links, ["node", "leader"], "left_anti").select("node", "band", "key"), "waiting")
-        if waiting.groupBy("band", "key").count().filter(F.col("count") > SMALL_BUCKET).isEmpty():
-            break
-    small = by_group(waiting.join(sets, "node"), ["band", "key"], ["node", "shingles"], _leaders_within(threshold), "node string, leader string")
-    found.append(materialize(small, "links"))
+        met = pairs.join(links, ["node", "leader"], "left_semi").select("node", "band", "key")
+        leaders = drawn.select(F.col("leader").alias("node"), "band", "key")
+        waiting = materialize(waiting.join(drawn, ["band", "key"], "left_semi").join(met.unionByName(leaders), ["node", "band", "key"], "left_anti"), "waiting")
     out = found[0]
     for links in found[1:]:
         out = out.unionByName(links)
