@@ -1,11 +1,13 @@
 """Sentence units of documents in any language, as offsets into the text.
 
 Two automata run over a text. The first goes line by line and cuts it into blocks: fenced code, headings, quoted lines,
-trailers, list items, paragraphs. The second is a pushdown automaton over a block: its stack holds the quotations and
-brackets that are open, code spans and numbers are passed over, and an end mark ends a sentence only with an empty stack,
-or where it closes the last open quotation. Whether a full stop is one is decided by a trie of abbreviations and by what
-stands on both sides; scripts with their own end marks need no white space behind them, and scripts without any are cut
-at their spaces.
+trailers, list items, paragraphs; its stack holds the indentations of the list levels that are open. The second is a
+pushdown automaton over a block: its stack holds the quotations and brackets that are open, code spans and numbers are
+passed over, and an end mark ends a sentence only with an empty stack, or where it closes the last open quotation. Whether
+a full stop is one is decided by a trie of abbreviations, read backwards from it, and by what stands on both sides; scripts
+with their own end marks need no white space behind them, and scripts without any are cut at their spaces.
+
+Every step moves on through the text or takes from a stack what was put there once, so the time grows with the length.
 """
 
 from __future__ import annotations
@@ -52,29 +54,35 @@ NUMBER_FOLLOWS = frozenset("no nr nos fig sec jan feb mar apr jun jul aug sep se
 NAME_FOLLOWS = frozenset("inc ltd co corp ave blvd rd u.s u.k e.u al jr".split())
 SENTENCE_OPENERS = frozenset(
     "the a an this that these those it its we i you they he she there here if when while after before as at by for from in on to with "
-    "why what who how where does do did is are was can both see use read call write wait keep ask prefer please no nobody some since "
-    "memory docs great stop thanks version upgrade compared hmm".split()
+    "why what who how where does do did is are was can both see use read call write wait keep ask prefer please no nobody some since".split()
 )
 GERMAN_BEFORE_ORDINAL = frozenset("der die das dem den des am im vom zum zur bis und ab seit beim jeder jede jedes jeden".split())
-TRAILER_KEYS = frozenset("fixes refs ref closes resolves see link cc bug issue change-id depends-on".split())
 
 FENCE = re.compile(r"[ \t]{0,3}(`{3,}|~{3,})")
 HEADING = re.compile(r"\s{0,4}#{1,6}(?=\s)")
 QUOTED = re.compile(r"\s{0,4}>")
-ITEM = re.compile(r"\s{0,8}(?:[-+*•‣◦·–]|\d{1,4}[.)]|[a-zA-Z][)])\s+(?=\S)")
-TRAILER = re.compile(r"([A-Za-z][A-Za-z0-9-]*):\s+\S")
+ITEM = re.compile(r"([^\S\n]*)(?:[-+*•‣◦·–]|\d{1,4}[.)]|[a-zA-Z][)])\s+(?=\S)")
+TRAILER = re.compile(r"(?:([A-Za-z][A-Za-z0-9]*(?:-[A-Za-z0-9]+)+)|[A-Z][A-Za-z0-9]*):[ \t]+\S")
+ENDED = re.compile(r"[.!?…]\s*\Z")
 UNDERLINE = re.compile(r"\s{0,3}(?:=+|-{3,})\s*$")
 LINES = re.compile(r"[^\n]*(?:\n|$)")
 
-WIDE_ENDS = frozenset("。！？｡．")
-MARKS = re.compile(r"(`+)(?:(?!\1).)+?\1|https?://[^\s<>　-鿿＀-￯]*[^\s<>　-鿿＀-￯.,;:!?…)\]\"'»”]|[。！？｡．][。！？｡．!?…]*|[.!?…؟।॥‼⁇⁈⁉;]+|[\"'“”„‘’«»‹›「」『』（）()\[\]{}《》〈〉【】]", re.DOTALL)
+#: End marks that need no white space behind them, and those of Unicode's Sentence_Terminal that do.
+WIDE_ENDS = frozenset("。！？｡．။។៕።፧᙮᠃᠉༎།")
+SPACED_ENDS = ".!?…؟۔։܀܁।॥‼⁇⁈⁉⸮"
+END_CLASS = re.escape("".join(sorted(WIDE_ENDS)))
+MARKS = re.compile(
+    r"(?<!`)(`++)(?:(?!\1).)+?\1|https?://[^\s<>　-鿿＀-￯]*[^\s<>　-鿿＀-￯.,;:!?…)\]\"'»”]|"
+    + rf"[{END_CLASS}][{END_CLASS}!?…]*|[{re.escape(SPACED_ENDS)};]+|[\"'“”„‘’«»‹›「」『』（）()\[\]{{}}《》〈〉【】]", re.DOTALL
+)
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】"}
 CLOSERS = {v: k for k, v in PAIRS.items()}
 QUOTES = {"“": "”", "„": "“", "‘": "’", "«": "»", "»": "«", "‹": "›", "›": "‹"}
 THAI = re.compile(r"(?<=[฀-ๅ็-๎])[ \t\r\n ]+(?=[฀-๎])")
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯＀-￯]")
 SAYS = re.compile(r"[^。！？]{0,12}?(?:问|问道|说|写道|答|喊|道|表示)")
-WORD = re.compile(r"[^\s\"“”„‘«»‹›「」『』（）()\[\]{}《》〈〉【】]+$")
+BREAKS = frozenset("\"“”„‘«»‹›「」『』（）()[]{}《》〈〉【】")
+SPACE = re.compile(r"\s")
 
 
 def _trie(words: list[str], verdict: str, root: dict | None = None) -> dict:
@@ -99,13 +107,45 @@ def _abbreviation(word: str) -> str | None:
     return node.get("")
 
 
+def _trailers(lines: list[str]) -> set[int]:
+    """Numbers of the lines ``Key: value`` that are trailers.
+
+    They close a paragraph. A key of several words with hyphens makes one there in any case, another only where the whole
+    paragraph is of such lines, as in prose a line can begin like that too, and not all of them end like sentences.
+    """
+    out: set[int] = set()
+    run: list[int] = []  # the lines of this form that the paragraph ends with so far
+    paragraph = 0
+
+    def close() -> None:
+        whole = len(run) == paragraph and not all(ENDED.search(lines[k]) for k in run)
+        out.update(k for k in run if whole or TRAILER.match(lines[k]).group(1))
+
+    for k, line in enumerate(lines):
+        if not line.strip(SPACES):
+            close()
+            run, paragraph = [], 0
+            continue
+        paragraph += 1
+        if TRAILER.match(line):
+            run.append(k)
+        else:
+            run = []
+    close()
+    return out
+
+
 def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, divisible) of the blocks of a text."""
     fence, fence_start = "", 0
     start = end = -1  # of the running paragraph or list item
-    lines = [m.span() for m in LINES.finditer(text) if m.end() > m.start()]
-    for k, (a, b) in enumerate(lines):
-        line = text[a:b].lstrip("﻿") if a == 0 else text[a:b]
+    n_lines = 0  # of the running block
+    levels: list[int] = []  # indentations of the open list levels
+    spans = [m.span() for m in LINES.finditer(text) if m.end() > m.start()]
+    lines = [text[a:b] for a, b in spans]
+    trailers = _trailers(lines)
+    for k, (a, b) in enumerate(spans):
+        line = lines[k].lstrip("﻿") if a == 0 else lines[k]
         if fence:
             bare = line.strip(SPACES)
             if bare and not bare.strip(fence[0]) and len(bare) >= len(fence):
@@ -113,26 +153,36 @@ def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
                 fence = ""
             continue
         bare = line.strip(SPACES)
+        item = ITEM.match(line) if bare else None
+        indent = len(item.group(1)) if item else 0
+        if item and indent > (levels[-1] if levels else 0) + LEVEL:
+            item = None
         if not bare:
             kind = "blank"
         elif (m := FENCE.match(line)) and not (m.group(1)[0] == "`" and "`" in line[m.end() :]):
             kind = "fence"
         elif HEADING.match(line) or QUOTED.match(line):
             kind = "whole"
-        elif ITEM.match(line):
+        elif item:
             kind = "item"
-        elif (t := TRAILER.match(line)) and (t.group(1).lower() in TRAILER_KEYS or t.group(1).lower().endswith("-by")):
+            while levels and levels[-1] >= indent:
+                levels.pop()
+            levels.append(indent)
+        elif k in trailers:
             kind = "whole"
-        elif UNDERLINE.match(line) and start >= 0 and text[start:end].count("\n") <= 1 and text[start:end].strip(SPACES) and not ITEM.match(text[start:end]):
+        elif UNDERLINE.match(line) and start >= 0 and n_lines == 1 and not ITEM.match(text, start):
             yield start, b, False  # a heading that is underlined
             start = -1
             continue
         else:
             kind = "text"
+            if not line[0].isspace():
+                levels.clear()
         if kind == "text":
             if start < 0:
-                start = a
+                start, n_lines = a, 0
             end = b
+            n_lines += 1
             continue
         if start >= 0:
             yield start, end, True
@@ -142,48 +192,80 @@ def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         elif kind == "whole":
             yield a, b, False
         elif kind == "item":
-            start, end = a, b
+            start, end, n_lines = a, b, 1
     if fence:
         yield fence_start, len(text), False
     elif start >= 0:
         yield start, end, True
 
 
+#: Columns by which an item may be indented more than the level it opens in.
+LEVEL = 8
+
+
+class _Stack:
+    """Open marks in order, found by what closes them; what lies above a closed one is dropped with it."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple] = []
+        self.places: dict[str | int, list[int]] = {}
+
+    def push(self, key: str | int, value: int) -> None:
+        self.places.setdefault(key, []).append(len(self.held))
+        self.held.append((key, value))
+
+    def has(self, key: str | int) -> bool:
+        return bool(self.places.get(key))
+
+    def close(self, key: str | int) -> int:
+        """The value of the topmost ``key``, which goes with all above it."""
+        at = self.places[key][-1]
+        value = self.held[at][1]
+        while len(self.held) > at:
+            self.places[self.held.pop()[0]].pop()
+        return value
+
+
 def _pairs(block: str, marks: list[tuple[int, int, str]]) -> dict[int, int]:
     """Partner of every quotation mark or bracket of a block that has one: {mark's place: partner's place}."""
-    stack: list[tuple[str, int]] = []
+    stack = _Stack()
     partner: dict[int, int] = {}
     for a, _, mark in marks:
-        if mark in CLOSERS:
-            closes = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == mark), None)
-        elif mark in PAIRS:
-            stack.append((PAIRS[mark], a))
+        if mark in PAIRS:
+            stack.push(PAIRS[mark], a)
             continue
-        elif mark in "\"'’”“»«›‹„‘":
+        closes = stack.has(mark)
+        if mark in "\"'’”“»«›‹„‘":
             before, after = block[a - 1 : a], block[a + 1 : a + 2]
             if mark in "'’" and before.isalnum() and after.isalnum():
                 continue
-            closes = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == mark), None)
-            if mark == "'" and closes is not None and not before.strip():
-                closes = None
-            if closes is None:
+            if mark == "'" and not before.strip():
+                closes = False
+            if not closes:
                 opener = QUOTES.get(mark) or (mark if mark in "\"'" else None)
                 if opener and (mark in "“„‘«»‹›" or not before.strip() or before in PAIRS or not before.isalnum()) and after.strip(SPACES if mark not in "«»‹›" else ""):
-                    stack.append((opener, a))
+                    stack.push(opener, a)
                 continue
-        else:
+        elif mark not in CLOSERS:
             continue
-        if closes is not None:
-            partner[stack[closes][1]] = a
-            partner[a] = stack[closes][1]
-            del stack[closes:]
+        if closes:
+            opened = stack.close(mark)
+            partner[opened] = a
+            partner[a] = opened
     return partner
 
 
+def _word_before(block: str, start: int, at: int) -> tuple[int, str]:
+    """(place, word) of what stands right before ``at``, read backwards."""
+    k = at
+    while k > start and not block[k - 1].isspace() and block[k - 1] not in BREAKS:
+        k -= 1
+    return k, block[k:at]
+
+
 def _full_stop_ends(block: str, start: int, at: int, after: str, lower: bool) -> bool:
     """Whether the single full stop at ``at`` ends the sentence begun at ``start``; ``after`` is the text behind it."""
-    word_match = WORD.search(block, start, at)
-    word = word_match.group() if word_match else ""
+    begins, word = _word_before(block, start, at)
     if not word:
         return block[at - 1 : at] != "" and not block[at - 1].isspace()
     first = after.lstrip("\"'“‘„«»‹「([{")[:1]
@@ -200,8 +282,9 @@ def _full_stop_ends(block: str, start: int, at: int, after: str, lower: bool) ->
             return False
         return verdict != "never" and first.isupper()
     if verdict is None and low.isdigit() and len(low) <= 3:
-        previous = WORD.search(block, start, len(block[: word_match.start()].rstrip(SPACES)))
-        if previous and previous.group().lower() in GERMAN_BEFORE_ORDINAL:
+        while begins > start and block[begins - 1] in SPACES:
+            begins -= 1
+        if _word_before(block, start, begins)[1].lower() in GERMAN_BEFORE_ORDINAL:
             return not after
     if verdict is None:
         return True
@@ -240,7 +323,8 @@ def _sentences(block: str, lower: bool) -> Iterator[tuple[int, int]]:
     item = ITEM.match(block)
     start = 0
     head = item.end() if item else 0
-    opened: list[int] = []  # the stack
+    opened = _Stack()
+    begun, begun_of = 0, -1  # first place of the sentence that is no space
     k = 0
     cuts: list[int] = []
     while k < len(marks):
@@ -250,9 +334,9 @@ def _sentences(block: str, lower: bool) -> Iterator[tuple[int, int]]:
             continue
         if a in partner:
             if partner[a] > a:
-                opened.append(a)
-            elif opened and partner[a] in opened:
-                del opened[opened.index(partner[a]) :]
+                opened.push(a, a)
+            elif opened.has(partner[a]):
+                opened.close(partner[a])
             continue
         lead = mark[0]
         if lead in "`h" or mark in QUOTES or mark in PAIRS or mark in CLOSERS or lead in "\"'’‘”":
@@ -265,24 +349,27 @@ def _sentences(block: str, lower: bool) -> Iterator[tuple[int, int]]:
             gap = end
             if block[gap : gap + 1] in ("\xa0", " ", " ") and block[gap + 1 : gap + 2] in ("»", "«", "›", "‹"):
                 gap += 1
-            if gap in partner and partner[gap] < gap and partner[gap] in opened:
-                closed.append(partner[gap])
-                del opened[opened.index(partner[gap]) :]
+            if gap in partner and partner[gap] < gap and opened.has(partner[gap]):
+                closed.append(opened.close(partner[gap]))
                 end = gap + 1
             else:
                 break
         while k < len(marks) and marks[k][0] < end:
             k += 1
-        if opened:
+        if opened.held:
             continue
         rest = block[end : end + 40]
         after = rest.lstrip(SPACES)
         spaced = len(after) < len(rest) or not rest
-        begun = len(block[start:end]) - len(block[start:end].lstrip(SPACES)) + start
+        if begun_of != start:
+            begun = begun_of = start
+            while begun < length and block[begun] in SPACES:
+                begun += 1
+            first_space = None
         at_start = max(begun, head)
         if closed:
             outer = closed[-1]
-            alone = outer <= at_start or not block[at_start:outer].strip(SPACES)
+            alone = outer <= at_start
             opener = block[outer]
             if opener in "([（{《〈【" and not alone:
                 continue
@@ -323,18 +410,21 @@ def _sentences(block: str, lower: bool) -> Iterator[tuple[int, int]]:
                 if set(mark) <= {".", "…"}:
                     if not spaced:
                         continue
-                    if not block[start:a].strip(SPACES) or block[a - 1 : a].isspace():
+                    if begun >= a or block[a - 1 : a].isspace():
                         continue
                     if after[0].islower() and not lower:
                         continue
-                    if not after[0].isupper() and len(block[at_start:a].split()) <= 1:
-                        continue
+                    if not after[0].isupper():
+                        if first_space is None:
+                            first_space = m.start() if (m := SPACE.search(block, at_start)) else length
+                        if first_space >= a:  # a single word
+                            continue
             elif mark == ".":
                 if not spaced:
                     continue
                 if not _full_stop_ends(block, at_start, a, after, lower):
                     continue
-            elif not wide and not spaced and not (mark[-1] in "!?؟।" and CJK.match(after)):
+            elif not wide and not spaced and not (mark[-1] in "!?؟।۔" and CJK.match(after)):
                 continue
             elif wide and mark[-1] == "．" and after[:1].isdigit():
                 continue
@@ -371,10 +461,10 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 
 
 #: Left out when a text is asked for capitals: code, links, headings, trailers, the first line.
-NOT_PROSE = re.compile(r"(`+)(?:(?!\1).)+?\1|https?://\S+|^[A-Za-z][\w-]*: .*$|^\s*#{1,6} .*$|\A.*$", re.MULTILINE)
+NOT_PROSE = re.compile(r"(?<!`)(`++)(?:(?!\1).)+?\1|https?://\S+|^[A-Za-z][\w-]*: .*$|^\s*#{1,6} .*$|\A.*$", re.MULTILINE)
 
 
-NOT_PROSE_SPANS = re.compile(r"(`+)(?:(?!\1).)+?\1|https?://\S+", re.DOTALL)
+NOT_PROSE_SPANS = re.compile(r"(?<!`)(`++)(?:(?!\1).)+?\1|https?://\S+", re.DOTALL)
 
 
 def _without_capitals(text: str) -> bool:

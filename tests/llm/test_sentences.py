@@ -1,5 +1,7 @@
 """Sentence units of small texts in several scripts."""
 
+import time
+
 import pytest
 
 from chronoweave.llm import sentences
@@ -17,6 +19,11 @@ CASES = [
     ("डॉ. A ने जाँच की। अभी न करें!", ["डॉ. A ने जाँच की।", "अभी न करें!"]),
     ("« Pourquoi ? » demande Alma. Il dit : « Oui ! » Enfin !", ["« Pourquoi ? » demande Alma.", "Il dit : « Oui ! »", "Enfin !"]),
     ("Am 3. Mai lief es, z. B. so. Laut A u. a. war es gut.", ["Am 3. Mai lief es, z. B. so.", "Laut A u. a. war es gut."]),
+    ("یہ چل گیا۔ اب رکیں۔", ["یہ چل گیا۔", "اب رکیں۔"]), ("ወረቀቱ ጠፋ። ሌላ አለ።", ["ወረቀቱ ጠፋ።", "ሌላ አለ።"]), ("ဖိုင်ပျောက်သွားသည်။နောက်တစ်ခုရှိသည်။", ["ဖိုင်ပျောက်သွားသည်။", "နောက်တစ်ခုရှိသည်။"]),
+    ("ឯកសារបាត់។មានមួយទៀត។", ["ឯកសារបាត់។", "មានមួយទៀត។"]), ("Բարեւ քեզ։ Սա լավ է։", ["Բարեւ քեզ։", "Սա լավ է։"]),
+    ("- one\n  - two. Three.\n    - four\n            - five\n- six", ["- one", "- two.", "Three.", "- four", "- five", "- six"]),
+    ("Subject\n\nText goes on.\n\nWeather: fine\nTested: on a mule", ["Subject", "Text goes on.", "Weather: fine", "Tested: on a mule"]),
+    ("Note: this is prose.\nIt goes on. Really.", ["Note: this is prose.", "It goes on.", "Really."]),
     ("it isn't. the dr. said so. stop!! fine.", ["it isn't.", "the dr. said so.", "stop!!", "fine."]),
 ]
 
@@ -42,3 +49,13 @@ def test_null_empty_and_very_long(spark):
     assert {r.doc_id: r["count"] for r in got} == {4: 4, 5: 20_000}
     assert sentences.split_sentences(df.limit(0)).collect() == []
     assert sentences.sentence_spans("```\nnever closed. x") == [(0, 19)]
+
+
+@pytest.mark.parametrize("text", [
+    "foo e.g. bar " * 8_000, "( " * 26_000 + "] " * 26_000, "a… " * 35_000, "`" * 104_000, "x\ny\n" + "---\n" * 26_000, "“a. " * 26_000, "Key: a\n" * 15_000, "wort 1. wort " * 8_000, "`a ``b ```c " * 8_600, " " * 104_000 + ".",
+])
+def test_time_grows_with_the_length(text):
+    """Texts of 104 kB that repeat one hard place; 39 s would be quadratic."""
+    began = time.process_time()
+    sentences.sentence_spans(text)
+    assert time.process_time() - began < 0.5
