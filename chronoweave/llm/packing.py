@@ -5,8 +5,11 @@ there are. From it a packing plan is made, a list of runs "containers c … c+r-
 
 1. Lengths are grouped in windows; shallow combinations of windows that fill the capacity are enumerated.
 2. Non-negative least squares finds how often to repeat each combination so that the histogram is met.
-3. The counts are rounded down, and each combination is given concrete lengths from its windows, largest that fit first.
-4. What is left over is packed greedily, longest first into the least room that holds it, again by length and count.
+3. The counts are rounded, and each combination is given concrete lengths from its windows, largest that fit first.
+   Containers that stay emptier than a small slack are not made.
+4. The same is done with the lengths themselves: those that hold most of what is left are combined, few at a time but short
+   ones in multiples, to sums within the slack of the capacity, again and again, on what the round before left over, until a round places next to nothing.
+5. The rest is packed greedily, longest first into the least room that holds it, again by length and count.
 
 Items are then numbered within their length by exact offset chunking and joined to the runs, so no task and no driver
 ever sees the items of a frequent length in one place.
@@ -24,7 +27,10 @@ from pyspark.sql import functions as F
 from chronoweave.operators.keyed_chunks import NUMBER, number_rows
 from chronoweave.storage import materialize
 
-WINDOWS, DEPTH, ROUNDS = 32, 4, 400
+WINDOWS, DEPTH, ROUNDS = 32, 4, 200
+#: Lengths combined in a round, combinations of one, share of the capacity a planned container may leave, rounds at most, one of how
+#: many items of a length is held back.
+LENGTHS, COMBINATIONS, SLACK, LENGTH_ROUNDS, HELD_BACK = 24, 400, 4_096, 40, 16
 
 
 @dataclass(frozen=True)
@@ -52,14 +58,33 @@ def shallow_combinations(units: int, depth: int) -> list[tuple[int, ...]]:
 
 
 def nonnegative_least_squares(matrix: np.ndarray, target: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """x >= 0 with small ``|matrix x - target|``, by accelerated projected gradient steps."""
-    step = 1.0 / max(float(np.linalg.norm(matrix, 2)) ** 2, 1e-9)
-    x = y = np.zeros(matrix.shape[1])
-    momentum = 1.0
+    """x >= 0 with least ``|matrix x - target|``, by the active set method: few columns are used, no more than rows."""
+    x = np.zeros(matrix.shape[1])
+    used: list[int] = []
     for _ in range(rounds):
-        new = np.maximum(y - step * (matrix.T @ (matrix @ y - target)), 0.0)
-        after = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
-        x, y, momentum = new, new + (momentum - 1) / after * (new - x), after
+        gain = matrix.T @ (target - matrix @ x)
+        gain[used] = 0.0
+        new = int(np.argmax(gain))
+        if gain[new] <= 1e-9 * max(1.0, float(np.abs(target).max(initial=0.0))):
+            break
+        used.append(new)
+        while used:
+            solved = np.linalg.lstsq(matrix[:, used], target, rcond=None)[0]
+            if (solved > 0).all():
+                x[:] = 0.0
+                x[used] = solved
+                break
+            old = x[used]
+            sunk = solved <= 0
+            step = float((old[sunk] / np.maximum(old[sunk] - solved[sunk], 1e-300)).min())
+            x[used] = moved = old + step * (solved - old)
+            kept = [u for u, v in zip(used, moved, strict=True) if v > 1e-12]
+            x[[u for u in used if u not in kept]] = 0.0
+            if len(kept) == len(used):
+                kept.remove(used[int(np.argmin(moved))])
+            used = kept
+            if new not in used:  # it goes out at once: nothing is to be gained
+                return x
     return x
 
 
@@ -80,8 +105,18 @@ def _draw(wanted: tuple[int, ...], left: dict[int, int], lengths: list[int], win
 
 
 def plan_packing(histogram: dict[int, int], capacity: int, windows: int = WINDOWS, depth: int = DEPTH) -> list[Run]:
-    """Runs that hold every item of ``histogram`` {length: count}; lengths are 1 … ``capacity``."""
-    left = {length: n for length, n in histogram.items() if n > 0}
+    """Runs that hold every item of ``histogram`` {length: count}; lengths are 1 … ``capacity``.
+
+    What a plan leaves over can be lopsided, long lengths without short ones to fill up with. So it is also tried with a
+    share of every length held back for the residual; the plan of fewer containers is taken.
+    """
+    plans = [_plan(histogram, capacity, windows, depth, held) for held in (0, HELD_BACK)]
+    return min(plans, key=lambda runs: sum(run.repeats for run in runs))
+
+
+def _plan(histogram: dict[int, int], capacity: int, windows: int, depth: int, held: int) -> list[Run]:
+    kept = {length: n // held for length, n in histogram.items() if held}
+    left = {length: n - kept.get(length, 0) for length, n in histogram.items() if n > 0}
     runs: list[Run] = []
     first = 0
 
@@ -92,6 +127,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, windows: int = WINDOW
         runs.append(Run(first, repeats, lengths))
         first += repeats
 
+    slack = capacity // SLACK
     units = min(windows, capacity)
     bounds = [(capacity * w // units + 1, capacity * (w + 1) // units) for w in range(units)]
     if left:
@@ -101,7 +137,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, windows: int = WINDOW
             for part in parts:
                 matrix[part - 1, j] += 1
         counts = np.array([sum(left.get(x, 0) for x in range(low, high + 1)) for low, high in bounds], float)
-        repeats = np.floor(nonnegative_least_squares(matrix, counts / max(counts.sum(), 1)) * counts.sum()).astype(int)
+        repeats = np.rint(nonnegative_least_squares(matrix, counts / max(counts.sum(), 1)) * counts.sum()).astype(int)
         ordered = sorted(left)
         for j in np.argsort(-repeats, kind="stable"):
             todo = int(repeats[j])
@@ -109,7 +145,6 @@ def plan_packing(histogram: dict[int, int], capacity: int, windows: int = WINDOW
                 lengths = _draw(combinations[j], left, ordered, bounds, capacity)
                 if lengths is None:
                     break
-                most = min(left[x] // lengths.count(x) for x in lengths)
                 room = capacity - sum(lengths)
                 while room > 0:  # fill what the windows leave with the longest that fits
                     at = bisect_right(ordered, room) - 1
@@ -119,13 +154,63 @@ def plan_packing(histogram: dict[int, int], capacity: int, windows: int = WINDOW
                         break
                     lengths = (*lengths, ordered[at])
                     room -= ordered[at]
+                if room > slack:
+                    break
                 most = min(left[x] // lengths.count(x) for x in lengths)
                 take(lengths, min(todo, most))
                 todo -= min(todo, most)
                 ordered = [x for x in ordered if left[x] > 0]
-    for run in _greedy({x: n for x, n in left.items() if n > 0}, capacity, first):
-        runs.append(run)
-    return runs
+    turn = 0
+    for _ in range(LENGTH_ROUNDS if left else 0):
+        before = sum(left.values())
+        for lengths, repeats in _length_plan(left, capacity, depth, slack, turn):
+            most = min(left[x] // lengths.count(x) for x in lengths)
+            if min(repeats, most) > 0:
+                take(lengths, min(repeats, most))
+        placed = before - sum(left.values())
+        # a round that places little has used up its lengths' common sums: others come first then, until none are left
+        turn = 0 if placed else turn + 1
+        if before == placed or turn * LENGTHS >= sum(n > 0 for n in left.values()):
+            break
+    rest = {x: n + kept.get(x, 0) for x, n in left.items()}
+    return runs + _greedy({x: n for x, n in rest.items() if n > 0}, capacity, first)
+
+
+def _multiples(most: int) -> list[int]:
+    """How many at a time a length is tried: a few, half and all that fit."""
+    return sorted({*range(1, min(most, 3) + 1), most // 2, most} - {0}, reverse=True)
+
+
+def _length_plan(left: dict[int, int], capacity: int, depth: int, slack: int, turn: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, repeats) from the lengths that hold most of what is left, the ``turn``-th dozen of them, most repeated first."""
+    chosen = sorted((x for x, n in left.items() if n > 0), key=lambda x: (-x * left[x], -x))[turn * LENGTHS : (turn + 1) * LENGTHS]
+    chosen.sort(reverse=True)
+    found: list[tuple[int, ...]] = []
+
+    def extend(parts: tuple[int, ...], at: int, room: int, distinct: int) -> None:
+        if parts and room <= slack:
+            found.append(parts)
+        for k in range(at, len(chosen) if distinct < depth else at):
+            most = room // chosen[k]
+            for times in _multiples(most):
+                if len(found) >= limit:
+                    return
+                extend(parts + (chosen[k],) * times, k + 1, room - times * chosen[k], distinct + 1)
+
+    for first in range(len(chosen)):  # each length begins as many combinations as the others
+        limit = len(found) + COMBINATIONS // len(chosen)
+        for times in _multiples(capacity // chosen[first]):
+            extend((chosen[first],) * times, first + 1, capacity - times * chosen[first], 1)
+    if not found:
+        return []
+    place = {x: i for i, x in enumerate(chosen)}
+    matrix = np.zeros((len(chosen), len(found)))
+    for j, parts in enumerate(found):
+        for x in parts:
+            matrix[place[x], j] += 1
+    counts = np.array([left[x] for x in chosen], float)
+    repeats = nonnegative_least_squares(matrix, counts / counts.sum()) * counts.sum()
+    return [(found[j], int(repeats[j] + 0.5)) for j in np.argsort(-repeats, kind="stable") if repeats[j] >= 0.5]
 
 
 def _greedy(left: dict[int, int], capacity: int, first: int) -> list[Run]:

@@ -36,6 +36,28 @@ def test_fill_rate():
     assert sum(k * v for k, v in histogram.items()) / (n * 2048) > 0.995
 
 
+def test_the_plan_beats_greedy_packing():
+    """51 + 26 + 23 and 27 + 27 + 23 + 23 fill 100; longest first puts 51 with 27 and needs a fifth more containers."""
+    m = 500
+    histogram = {51: 6 * m, 26: 6 * m, 27: 6 * m, 23: 12 * m}
+    greedy = sum(run.repeats for run in packing._greedy(dict(histogram), 100, 0))
+    planned = check_runs(histogram, 100, packing.plan_packing(histogram, 100))
+    assert greedy >= 10.5 * m and planned <= 9.1 * m
+
+
+def test_most_items_are_planned(monkeypatch):
+    random.seed(6)
+    histogram = {}
+    for _ in range(50_000):
+        length = min(2048, int(random.lognormvariate(5, 1.1)) + 1)
+        histogram[length] = histogram.get(length, 0) + 1
+    rest = {}
+    original = packing._greedy
+    monkeypatch.setattr(packing, "_greedy", lambda left, *more: rest.update(left) or original(left, *more))
+    check_runs(histogram, 2048, packing.plan_packing(histogram, 2048))
+    assert sum(rest.values()) < 0.25 * 50_000, sum(rest.values())
+
+
 def test_nnls_meets_a_reachable_target():
     import numpy as np
 
