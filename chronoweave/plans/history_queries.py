@@ -10,6 +10,7 @@ from chronoweave.enrich import file_types, plugins
 from chronoweave.functions import values
 from chronoweave.operators import changes, graph, planning, project, sink, summary
 from chronoweave.sources.tables import clean_email, latest, table
+from chronoweave.storage import materialize
 
 SINCE_SECONDS = 1_750_800_000
 USER_RULES = [("*.generated.ts", "Generated TypeScript"), ("*.pb.go", "Protocol stub"), ("CHANGELOG.md", "Changelog")]
@@ -24,6 +25,12 @@ def held_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(facts, ["oid"], "extracted_at")
 
 
+def held_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the walks need of the commits, written once as they read it several times."""
+    facts = table(spark, sf_dir, "commit_facts").filter(F.col("oid").isNotNull())
+    return materialize(latest(facts.select("oid", "parents", "committer", "repository", "extracted_at"), ["oid"], "extracted_at"), "held")
+
+
 def graph_nodes(commits: DataFrame) -> DataFrame:
     return commits.select(F.col("oid").alias("node"), "parents", F.struct(F.col("repository.name"), F.col("committer.timestamp")).alias("place"))
 
@@ -39,13 +46,13 @@ def tips(commits: DataFrame) -> DataFrame:
 
 
 def reachable_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = held_commits(spark, sf_dir)
+    commits = held_graph(spark, sf_dir)
     starts = tips(commits).select(F.col("repository_name").alias("walk"), F.col("head").alias("node"))
     return graph.reachable(graph_nodes(commits), starts).select(F.col("walk").alias("repository_name"), F.col("node").alias("oid"))
 
 
 def _difference(spark: SparkSession, sf_dir: str, exclude: Column) -> DataFrame:
-    commits = held_commits(spark, sf_dir)
+    commits = held_graph(spark, sf_dir)
     plans = tips(commits).select("ref_index", "head", exclude.alias("exclude"))
     return graph.reachable_difference(graph_nodes(commits), plans).select("ref_index", F.col("node").alias("oid"))
 
@@ -60,7 +67,7 @@ def missing_boundary_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_ref_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = held_commits(spark, sf_dir)
+    commits = held_graph(spark, sf_dir)
     t = tips(commits)
     none = F.lit(None).cast("string").alias("exclude")
     plans = t.select((F.col("ref_index") * 2).alias("ref_index"), F.col("prior").alias("head"), none).unionByName(
@@ -84,7 +91,7 @@ def since_date_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = held_commits(spark, sf_dir)
+    commits = held_graph(spark, sf_dir)
     t = tips(commits)
     both = t.select(F.col("repository_name").alias("group"), F.col("head").alias("node")).unionByName(t.select(F.col("repository_name").alias("group"), F.col("other").alias("node")))
     return graph.merge_bases(graph_nodes(commits), both).select(F.col("group").alias("repository_name"), "base")
@@ -482,8 +489,9 @@ SELECT oid, committer."timestamp" AS committer_ts FROM held WHERE oid IN (SELECT
     "since_date_boundary": f"""WITH {_TIPS} SELECT c.repository_name, c.oid FROM c JOIN tips USING (repository_name) JOIN held h ON h.oid = tips.prior WHERE c.ts > h.committer."timestamp" """,
     "merge_base": f"""WITH RECURSIVE {_TIPS}, {_walk("SELECT DISTINCT repository_name || ' ' || t AS w, t AS oid FROM (SELECT repository_name, head AS t FROM tips UNION SELECT repository_name, other FROM tips)")},
 wanted AS (SELECT repository_name, CASE WHEN head = other THEN 1 ELSE 2 END AS n FROM tips),
-common AS (SELECT w.repository_name, walk.oid FROM walk JOIN wanted w ON walk.w LIKE w.repository_name || ' %' GROUP BY 1, 2, w.n HAVING count(*) = w.n)
-SELECT a.repository_name, min(a.oid) AS base FROM common a WHERE NOT EXISTS (SELECT 1 FROM common b JOIN edges e ON e.child = b.oid WHERE e.parent = a.oid AND b.repository_name = a.repository_name) GROUP BY 1""",
+common AS (SELECT w.repository_name, walk.oid FROM walk JOIN wanted w ON walk.w LIKE w.repository_name || ' %' GROUP BY 1, 2, w.n HAVING count(*) = w.n),
+best AS (SELECT a.repository_name, min(a.oid) AS base FROM common a WHERE NOT EXISTS (SELECT 1 FROM common b JOIN edges e ON e.child = b.oid WHERE e.parent = a.oid AND b.repository_name = a.repository_name) GROUP BY 1)
+SELECT repository_name, base FROM tips LEFT JOIN best USING (repository_name)""",
     "ref_classification": f"WITH {_REQUESTED} SELECT * FROM resolved",
     "plan_exclude_selection": f"""WITH {_REQUESTED} SELECT r.ref_index, r.name, r.ref_type, r.head, coalesce(k.tip_oid, CASE WHEN r.ref_type = 'branch' THEN repeat('f', 40) END) AS exclude
 FROM resolved r LEFT JOIN checkpoints k ON k.ref = r.name AND k.ref_type = r.ref_type WHERE r.head IS NOT NULL""",

@@ -65,7 +65,45 @@ def test_random_graphs_in_any_layout(spark):
     bases = {r.group: r.base for r in graph.merge_bases(dag(spark, parents, place), spark.createDataFrame(tips, "group string, node string")).collect()}
     common = set.intersection(*(brute(parents, [t]) for g, t in tips if g == "g"))
     inner = {p for c in common for p in parents[c]}
-    assert bases == {"g": min(common - inner), "one": "n010"}
+    assert bases == {"g": min(common - inner), "one": "n010", "none": None}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_loops_and_shuffled_layouts(spark, shuffled):
+    rng = random.Random(5)
+    n = 24 if shuffled else 240
+    parents = {f"n{i:03d}": [f"n{max(0, i - rng.randrange(1, 4)):03d}" for _ in range(rng.choice([1, 2]))] if i else [] for i in range(n)}
+    parents[f"n{n // 5:03d}"] = [f"n{n // 2:03d}", f"n{n // 5 - 1:03d}"]  # a loop over several blocks
+    parents[f"n{n - 4:03d}"] = [f"n{n - 4:03d}", f"n{n // 2:03d}"]
+    place = {node: rng.randrange(n) if shuffled else int(node[1:]) for node in parents}
+    starts = [("w1", f"n{n - 1:03d}"), ("w2", f"n{n // 4:03d}"), ("w2", f"n{n - 4:03d}"), ("w3", "n000")]
+    got = graph.reachable(dag(spark, parents, place), spark.createDataFrame(starts, "walk string, node string"), n // 4).collect()
+    want = {(w, x) for w in ("w1", "w2", "w3") for x in brute(parents, [x for v, x in starts if v == w])}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_rounds_follow_the_logarithm(spark, monkeypatch):
+    """A hundred blocks one behind another are walked in a few rounds, and nothing that was reached is written again."""
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, label, _own=graph.materialize: written.append(label) or _own(df, label))
+    parents = {f"n{i:05d}": [f"n{i - 1:05d}"] if i else [] for i in range(2_000)}
+    place = {n: int(n[1:]) for n in parents}
+    got = graph.reachable(dag(spark, parents, place), spark.createDataFrame([("w", "n01999"), ("v", "n00500")], "walk string, node string"), 20)
+    assert got.groupBy("walk").count().orderBy("walk").collect() == [("v", 501), ("w", 2_000)]
+    assert written.count("walked") <= 4 and "reached" not in written
+
+
+def test_lines_that_go_round_end_where_they_began(spark):
+    parents = {f"n{i:02d}": f"n{i - 1:02d}" if i else "n37" for i in range(60)}  # n00 leads back to n37
+    df = spark.createDataFrame([(n, p, int(n[1:])) for n, p in parents.items()], "node string, parent string, place int")
+    for start in ("n55", "n10"):
+        pieces = graph.follow(df, spark.createDataFrame([(start,)], "node string"), 7).orderBy("piece").collect()
+        line = [n for r in pieces for n in r.path]
+        want, node = [], start
+        while node not in want:
+            want.append(node)
+            node = parents[node]
+        assert line == want
 
 
 def test_plans(spark):
