@@ -3,7 +3,8 @@
 A session is a maximal run of one key's events in which neighbours are at most ``gap`` seconds apart. The table takes
 batches of events in any order, late ones too: each batch is cut into local sessions, these meet the stored sessions
 within the gap, bridged ones become one, and the affected rows are replaced in a new version of the table that becomes
-current by one rename.
+current by one rename. Sessions lie in cells of (bucket of keys, epoch of their start), and only cells that the batch's
+sessions touch are read and written, so the work follows the batch and not the table.
 
 A key with a third of all events is no problem: events are first counted by (key, time cell of the width of the gap).
 All events of a cell belong to one session by definition, so what is left of a key is bounded by the time it spans.
@@ -12,14 +13,20 @@ Cells are chained within epochs of many cells, and epochs are joined only at the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoweave.storage import new_path
+from chronoweave.storage import materialize, new_path
 
 GAP_SECONDS = 7_200
 EPOCH_CELLS = 4_096
+EPOCH_SECONDS = 180 * 86_400
+EVENT = "event_id string, key string, ts bigint"
 SESSION = "key string, start_ts bigint, end_ts bigint, n_events bigint"
 
 
@@ -74,67 +81,93 @@ def local_sessions(events: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
 class SessionTable:
     """Versions of a session table, with the ids of the events it holds, in a folder all executors can reach.
 
-    ``apply(batch)`` takes (event_id, key, ts). Events whose id the table holds are left out, as are repeats within the
-    batch, so a batch that is applied twice changes nothing. Sessions lie in buckets of keys; a version writes only the
-    buckets that its batch touches and a manifest that says for every bucket which version holds it. All of it is written
-    as a draft and committed by the one rename that gives the folder its name: readers see the state before or after,
-    never a part, and an attempt that fails leaves only a draft that the next one overwrites.
+    ``apply(batch)`` takes (event_id, key, ts). Events that the table holds are left out, as are ids repeated within the
+    batch, so a batch that is applied twice changes nothing. An event is known again by id, key and time, so ids are looked
+    up in the cells of their own time only; null ids are one id.
+
+    A version is a manifest: for every cell the time its sessions span and the folder that holds its sessions and events.
+    A writer puts its cells into a folder of its own and commits by renaming its manifest to the next version's name, which
+    fails if another writer has it. Readers see the state before or after, never a part; what an attempt that failed has
+    written is named by no manifest.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, gap: int = GAP_SECONDS, buckets: int = 16):
-        self.spark, self.path, self.gap, self.buckets = spark, path or new_path(spark, "sessions"), gap, buckets
-        jvm = spark.sparkContext._jvm
-        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._jpath = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, path: str | None = None, gap: int = GAP_SECONDS, buckets: int = 4, epoch_seconds: int = EPOCH_SECONDS):
+        self.spark, self.path, self.gap, self.buckets, self.epoch_seconds = spark, path or new_path(spark, "sessions"), gap, buckets, epoch_seconds
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._jpath = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._jpath(self.path).getFileSystem(self._conf)
         self._fs.mkdirs(self._jpath(self.path))
 
     def version(self) -> int:
         """The newest committed version, 0 for none."""
         names = [s.getPath().getName() for s in self._fs.listStatus(self._jpath(self.path))]
-        return max([0, *(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())])
+        return max([0, *(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json") and n[1:-5].isdigit())])
 
-    def _manifest(self, version: int) -> dict[int, int]:
-        """{bucket: version that holds it}; at most ``buckets`` rows."""
+    def _manifest(self, version: int) -> list[dict]:
+        """One entry a cell: bucket, epoch, the span low … high of what it holds, n_sessions, and its folder."""
         if not version:
-            return {}
-        rows = self.spark.read.schema("bucket int, version int").json(f"{self.path}/v{version}/manifest").collect()
-        return {r["bucket"]: r["version"] for r in rows}
+            return []
+        lines = self.spark.read.text(f"{self.path}/v{version}.json").collect()
+        return [json.loads(line["value"]) for line in lines]
 
-    def _sessions(self, holders: dict[int, int]) -> DataFrame:
-        if not holders:
-            return self.spark.createDataFrame([], SESSION)
-        return self.spark.read.schema(SESSION).parquet(*[f"{self.path}/v{v}/sessions/bucket={b}" for b, v in sorted(holders.items())])
+    def _read(self, cells: list[dict], what: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{c['folder']}/{what}/bucket={c['bucket']}/epoch={c['epoch']}" for c in cells if what == "events" or c["n_sessions"]]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        return self._sessions(self._manifest(self.version()))
+        return self._read(self._manifest(self.version()), "sessions", SESSION)
 
-    def _seen(self, version: int) -> DataFrame:
-        return self.spark.read.schema("event_id string").parquet(*[f"{self.path}/v{i}/events" for i in range(1, version + 1)])
+    def _cell(self, ts: str) -> tuple[Column, Column]:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket"), F.floor(F.col(ts) / self.epoch_seconds).cast("long").alias("epoch")
+
+    def _write(self, rows: DataFrame, folder: str, what: str, ts: str) -> None:
+        columns = rows.columns
+        rows.select("*", *self._cell(ts)).hint("rebalance", "bucket", "epoch").select(*columns, "bucket", "epoch").write.partitionBy("bucket", "epoch").parquet(f"{self.path}/{folder}/{what}")
 
     def apply(self, batch: DataFrame) -> int:
         """Merges a batch and returns the new version."""
         at = self.version()
-        fresh = batch.filter(F.col("key").isNotNull() & F.col("ts").isNotNull()).groupBy("event_id").agg(F.min_by(F.struct("key", "ts"), F.struct("ts", "key")).alias("_e"))
-        if at:
-            fresh = fresh.join(self._seen(at), "event_id", "left_anti")
-        draft = f"{self.path}/draft-{at + 1}"
-        self._fs.delete(self._jpath(draft), True)
-        fresh.select("event_id", "_e.key", "_e.ts").write.parquet(f"{draft}/events")
-        events = self.spark.read.schema("event_id string, key string, ts bigint").parquet(f"{draft}/events")
-        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
-        touched = [r["bucket"] for r in events.select(bucket).distinct().collect()]  # at most `buckets` numbers
-        holders = self._manifest(at)
-        stored = {b: v for b, v in holders.items() if b in touched}
-        local = local_sessions(events, self.gap)
-        merged = self._merge(self._sessions(stored), local) if stored else local
-        if touched:
-            merged.select("*", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{draft}/sessions")
-        manifest = sorted((holders | dict.fromkeys(touched, at + 1)).items())
-        self.spark.createDataFrame(manifest, "bucket int, version int").coalesce(1).write.json(f"{draft}/manifest")
-        if not self._fs.rename(self._jpath(draft), self._jpath(f"{self.path}/v{at + 1}")):
-            raise RuntimeError(f"version {at + 1} of {self.path} was committed by another writer")
+        folder = f"d{uuid.uuid4().hex}"
+        given = batch.filter(F.col("key").isNotNull() & F.col("ts").isNotNull()).select(F.col("event_id").cast("string").alias("event_id"), "key", F.col("ts").cast("long").alias("ts"))
+        given = materialize(given.groupBy("event_id").agg(F.min_by(F.struct("key", "ts"), F.struct("ts", "key")).alias("_e")).select("event_id", "_e.key", "_e.ts"), "given")
+        manifest = self._manifest(at)
+        bucket, epoch = self._cell("ts")
+        # the cells that the batch's events lie in hold their ids, those whose span they come near hold the sessions they meet
+        reach = given.groupBy(bucket, epoch).agg((F.min("ts") - self.gap).alias("first"), (F.max("ts") + self.gap).alias("last")).collect()
+        touched = [c for c in manifest if any(r["bucket"] == c["bucket"] and (r["epoch"] == c["epoch"] or c["low"] <= r["last"] and c["high"] >= r["first"]) for r in reach)]
+        held = self._read(touched, "events", EVENT)
+        known = held.select(F.col("event_id").alias("_id"), F.col("key").alias("_key"), F.col("ts").alias("_ts"))
+        fresh = given.join(known, F.col("event_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("ts") == F.col("_ts")), "left_anti")
+        fresh = materialize(fresh, "fresh") if touched else given
+        local = local_sessions(fresh, self.gap)
+        stored = self._read(touched, "sessions", SESSION)
+        merged = self._merge(stored, local) if touched else local
+        self._write(merged, folder, "sessions", "start_ts")
+        self._write(held.unionByName(fresh), folder, "events", "ts")
+        cells: dict[tuple[int, int], dict] = {}
+        for what, low, high in (("sessions", "start_ts", "end_ts"), ("events", "ts", "ts")):  # a cell can have events only
+            written = self.spark.read.schema(f"{low} bigint, {high} bigint, bucket int, epoch bigint" if low != high else f"{low} bigint, bucket int, epoch bigint").parquet(f"{self.path}/{folder}/{what}")
+            for r in written.groupBy("bucket", "epoch").agg(F.min(low).alias("low"), F.max(high).alias("high"), F.count(F.lit(1)).alias("n")).collect():
+                new = {"bucket": r["bucket"], "epoch": r["epoch"], "low": r["low"], "high": r["high"], "n_sessions": r["n"] if what == "sessions" else 0, "folder": folder}
+                old = cells.setdefault((r["bucket"], r["epoch"]), new)
+                old["low"], old["high"] = min(old["low"], new["low"]), max(old["high"], new["high"])
+        replaced = {(c["bucket"], c["epoch"]) for c in touched}
+        self._commit([c for c in manifest if (c["bucket"], c["epoch"]) not in replaced] + list(cells.values()), at + 1)
         return at + 1
 
+    def _commit(self, manifest: list[dict], version: int) -> None:
+        draft, final = (self._fs.makeQualified(self._jpath(f"{self.path}/{name}")) for name in (f".draft-{uuid.uuid4().hex}", f"v{version}.json"))
+        out = self._fs.create(draft, False)
+        out.write(bytearray("".join(json.dumps(c) + "\n" for c in manifest).encode()))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:  # unlike FileSystem.rename this never goes over or into what is there
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(draft, final, options)
+        except Py4JJavaError as error:
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"version {version} of {self.path} was committed by another writer") from error
+
     def _merge(self, stored: DataFrame, local: DataFrame) -> DataFrame:
         """Stored sessions near a local one are merged with it; all others pass through untouched.
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.operators import hierarchy, keyed_chunks, sessions
@@ -207,3 +208,34 @@ def test_sessions_come_in_three_batches(spark, tmp_path):
     path = f"{tmp_path}/sessions"
     assert rows(sessions.sessions_in_batches(events, "at", gap=100, path=path)) == [("k", 0, 29 * 60, 30)]
     assert sessions.SessionTable(spark, path).version() == 3
+
+
+def test_a_second_writer_is_told(spark, monkeypatch):
+    """Two writers start from one version: the later commit fails and changes nothing, and can be tried again."""
+    batch = lambda *rows: spark.createDataFrame(rows, "event_id string, key string, ts bigint")
+    table = sessions.SessionTable(spark, gap=100)
+    table.apply(batch(("a", "k", 0)))
+    other = sessions.SessionTable(spark, table.path, gap=100)
+    with monkeypatch.context() as m:
+        m.setattr(other, "version", lambda: 1)
+        table.apply(batch(("b", "k", 50)))
+        with pytest.raises(RuntimeError, match="another writer"):
+            other.apply(batch(("c", "k", 500)))
+    assert rows(table.read()) == [("k", 0, 50, 2)] and table.version() == 2
+    other.apply(batch(("c", "k", 500)))
+    assert rows(table.read()) == [("k", 0, 50, 2), ("k", 500, 500, 1)]
+
+
+def test_what_is_written_follows_the_batch(spark):
+    """A batch in one epoch reads and writes its cells only, however many the table has; one that bridges epochs merges them."""
+    table = sessions.SessionTable(spark, gap=100, buckets=2, epoch_seconds=10_000)
+    events = [(f"{k}{t}", k, t) for k in "abcdef" for t in range(0, 200_000, 5_000)]
+    table.apply(spark.createDataFrame(events, "event_id string, key string, ts bigint"))
+    folders = lambda version: {(c["bucket"], c["epoch"]): c["folder"] for c in table._manifest(version)}
+    before = folders(1)
+    table.apply(spark.createDataFrame([("new", "a", 95_050), ("a95000", "a", 95_000)], "event_id string, key string, ts bigint"))
+    changed = {c for c, folder in folders(2).items() if before.get(c) != folder}
+    assert len(before) == 40 and len(changed) <= 2 and {e for _, e in changed} <= {9}
+    late = [(f"l{t}", "a", t) for t in range(99_900, 100_100, 50)]
+    table.apply(spark.createDataFrame(late, "event_id string, key string, ts bigint"))
+    assert rows(table.read()) == brute_sessions(sorted({*((i, k, t) for i, k, t in events), ("new", "a", 95_050), *late}), 100)
