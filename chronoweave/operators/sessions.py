@@ -140,7 +140,7 @@ class SessionTable:
         known = held.select(F.col("event_id").alias("_id"), F.col("key").alias("_key"), F.col("ts").alias("_ts"))
         fresh = given.join(known, F.col("event_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("ts") == F.col("_ts")), "left_anti")
         fresh = materialize(fresh, "fresh") if touched else given
-        local = local_sessions(fresh, self.gap)
+        local = materialize(local_sessions(fresh, self.gap), "local")
         stored = self._read(touched, "sessions", SESSION)
         merged = self._merge(stored, local) if touched else local
         self._write(merged, folder, "sessions", "start_ts")
