@@ -8,6 +8,9 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from typing import Any
 
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 
 from chronoweave import config as configuration
 from chronoweave.enrich import plugins
-from chronoweave.functions.values import ROTATE_SIZE, format_count, format_elapsed, parse_byte_size, parse_positive
-from chronoweave.operators import changes, graph, planning, project, sink, state
+from chronoweave.functions.values import ROTATE_SIZE, format_count, format_elapsed, format_size, parse_byte_size, parse_positive
+from chronoweave.operators import graph, planning, project, sink, state, summary
 from chronoweave.sources import git
 from chronoweave.storage import materialize
 
@@ -90,6 +93,8 @@ def options(argv: list[str]) -> argparse.Namespace:
         raise UserError(f"no folder {o.repository}")
     if not os.path.isdir(o.output_dir):
         raise UserError(f"no folder {o.output_dir}")
+    if not os.path.exists(os.path.join(o.repository, ".git")) and not os.path.isdir(os.path.join(o.repository, "objects")):
+        raise UserError(f"{o.repository} is no repository")
     if o.state and not os.path.isdir(os.path.dirname(os.path.abspath(o.state))):
         raise UserError(f"no folder for {o.state}")
     if o.since_date:
@@ -110,13 +115,28 @@ def _source(spark: SparkSession, path: str, table: str, **extra: str) -> DataFra
     return spark.read.format("git").options(path=path, table=table, **extra).load()
 
 
-def _file_changes(spark: SparkSession, o: argparse.Namespace, oids: DataFrame) -> DataFrame:
-    found = materialize(_source(spark, o.repository, "changes").join(oids.select("oid"), "oid", "left_semi"), "changes")
-    blobs = _source(spark, o.repository, "blobs")
-    before = blobs.select(F.col("blob_oid").alias("before_oid"), F.col("content").alias("before_content"))
-    after = blobs.select(F.col("blob_oid").alias("after_oid"), F.col("content").alias("after_content"))
-    pairs = found.join(before, "before_oid", "left").join(after, "after_oid", "left")
-    return changes.with_line_counts(pairs, o.max_diff_size).select("oid", "path", "status", "additions", "deletions", "skipped")
+class Spans:
+    """Stages of a run with their times and counters, for the profile."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    @contextmanager
+    def stage(self, name: str, **counters: int) -> Iterator[dict[str, int]]:
+        began, failed = time.time(), True
+        try:
+            yield counters
+            failed = False
+        finally:
+            self.rows.append((name, int(began * 1e6), round((time.time() - began) * 1000, 3), None, dict(counters), failed))
+
+    def report(self, spark: SparkSession) -> list[str]:
+        """A line a stage in order of start: time, share, counters."""
+        spans = spark.createDataFrame(self.rows, "name string, started bigint, duration_ms double, attribute string, counters map<string,bigint>, failed boolean")
+        rows = summary.span_summary(spans).collect()
+        total = sum(r["total_ms"] for r in rows) or 1.0
+        said = lambda r: "".join(f" {k}={format_count(v)}" for k, v in sorted((r["counters"] or {}).items()))
+        return [f"{r['name']:<12} {format_elapsed(r['total_ms']):>10} {100 * r['total_ms'] / total:5.1f} %{said(r)}" for r in rows]
 
 
 def extract(spark: SparkSession, o: argparse.Namespace, now: datetime) -> dict[str, Any]:
@@ -126,22 +146,37 @@ def extract(spark: SparkSession, o: argparse.Namespace, now: datetime) -> dict[s
     if (form := git.object_format(o.repository)) != "sha1":
         raise UserError(f"object format {form} is not supported")
     path, stamp = os.path.abspath(o.repository), now.strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    extensions = []
+    for n, e in o.extensions.items():
+        try:
+            extensions.append(plugins.Extension(n, plugins.load_plugin(e["entrypoint"], e.get("config")), e["failurePolicy"]))
+        except (ValueError, TypeError, ImportError, AttributeError, FileNotFoundError) as error:
+            raise UserError(f"extension {n}: {error}") from error
     prior, fell_back = state.empty_state(path, stamp), False
     if o.incremental:
         prior, fell_back = state.load_state(o.state, path, o.missing_state or "error", stamp)
     warnings = ["no state: everything is extracted"] if fell_back else []
-    commits = materialize(_source(spark, o.repository, "commits"), "commits")
+    spans = Spans()
+    wanted = git.resolve_names(path, [*o.ref, *(r["tipOid"] for r in prior["refs"]), *([o.since_ref] if o.since_ref else [])])
+    with spans.stage("commits") as counters:
+        # only what the heads and boundaries reach is read; the object database isn't looked through
+        heads = " ".join(sorted(set(wanted.values())))
+        commits = materialize(_source(spark, path, "commits", head=heads) if heads else _source(spark, path, "commits").limit(0), "commits")
+        counters["commits"] = commits.count()
     requested = spark.createDataFrame(list(enumerate(o.ref)), "ref_index int, name string")
-    resolved = materialize(planning.resolve_refs(requested, _source(spark, o.repository, "refs"), commits), "resolved")
+    refs = _source(spark, path, "refs").select("full_name", "peeled_oid", "is_tag_object")
+    known = {r["full_name"] for r in refs.select("full_name").collect()}
+    # other names that git resolves: HEAD, remote branches, short oids
+    others = [(n, wanted[n], False) for n in dict.fromkeys(o.ref) if n in wanted and not {n, f"refs/heads/{n}", f"refs/tags/{n}"} & known and n != wanted[n]]
+    refs = refs.unionByName(spark.createDataFrame(others, "full_name string, peeled_oid string, is_tag_object boolean"))
+    resolved = materialize(planning.resolve_refs(requested, refs, commits), "resolved")
     warnings += [f"ref {r['name']} was not found and is skipped" for r in planning.missing_refs(resolved).collect()]
     checkpoints = state.checkpoints(spark, prior)
     nodes = commits.select(F.col("oid").alias("node"), "parents", F.col("committer.timestamp").alias("place"))
     base, since = None, None
     if o.since_ref:
-        try:
-            since = git.git(o.repository, "rev-parse", "--verify", f"{o.since_ref}^{{commit}}").decode().strip()
-        except git.GitError:
-            raise UserError(f"--since-ref {o.since_ref} was not found") from None
+        if (since := wanted.get(o.since_ref)) is None:
+            raise git.GitError("REF_NOT_FOUND", f"--since-ref {o.since_ref} was not found")
     elif prior["refs"] and not planning.new_branches(resolved, checkpoints).isEmpty():
         tips = checkpoints.filter("ref_type = 'branch'").select(F.lit("prior").alias("group"), F.col("tip_oid").alias("node"))
         found = graph.merge_bases(nodes, tips).collect()
@@ -151,26 +186,37 @@ def extract(spark: SparkSession, o: argparse.Namespace, now: datetime) -> dict[s
     rows = plans.orderBy("ref_index").collect()
     warnings += [f"the boundary of {r['name']} is gone: it is walked whole" for r in rows if r["fell_back"]]
     warnings += [f"{r['name']} is no branch and will not move" for r in rows if r["ref_type"] != "branch"]
-    reached = graph.first_reaching_ref(graph.reachable_difference(nodes, plans)).withColumnRenamed("node", "oid")
-    chosen = commits.join(reached, "oid")
-    if o.since_date:
-        chosen = planning.after_date(chosen, o.since_ms)
-    chosen = materialize(chosen, "chosen").withColumn("repository", F.struct(F.lit(o.repo_name or _name(o, url)).alias("name"), F.lit(url).cast("string").alias("url")))
+    with spans.stage("reachability") as counters:
+        reached = graph.first_reaching_ref(graph.reachable_difference(nodes, plans)).withColumnRenamed("node", "oid")
+        chosen = commits.join(reached, "oid")
+        if o.since_date:
+            chosen = planning.after_date(chosen, o.since_ms)
+        chosen = materialize(chosen, "chosen")
+        counters["commits"] = n_commits = chosen.count()
+    chosen = chosen.withColumn("repository", F.struct(F.lit(o.repo_name or _name(o, url)).alias("name"), F.lit(url).cast("string").alias("url")))
     keys = ["ref_index", "oid"]
     skipped = 0
     if o.per_file:
-        files = materialize(_file_changes(spark, o, chosen), "files")
-        skipped = files.filter("skipped IS NOT NULL").count()
+        with spans.stage("changes") as counters:
+            limits = {"most_bytes": str(o.max_diff_size)} if o.max_diff_size else {}
+            limits |= {"since": str(o.since_ms // 1000)} if o.since_date else {}
+            heads = " ".join(sorted({r["head"] for r in rows}))
+            excludes = {r["exclude"] for r in rows}
+            limits |= {"exclude": excludes.pop()} if len(excludes) == 1 and None not in excludes else {}  # the one all share
+            found = _source(spark, path, "line_changes", head=heads, **limits) if heads else _source(spark, path, "line_changes").limit(0)
+            files = materialize(found.join(chosen.select("oid"), "oid", "left_semi"), "files")
+            skipped = files.filter("skipped IS NOT NULL").count()
+            counters |= {"skipped": skipped}
         records = project.file_records(chosen, files)
         keys.append("path")
     else:
         records = project.commit_records(chosen)
-    extensions = [plugins.Extension(n, plugins.load_plugin(e["entrypoint"], e.get("config")), e["failurePolicy"]) for n, e in o.extensions.items()]
     plugins.init_all(extensions)
     records = plugins.enrich(records, extensions).join(reached, "oid")
     columns = [c for c in records.columns if c != "ref_index"]
     lines = records.select("ref_index", "oid", *([F.col("file.path").alias("path")] if o.per_file else []), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
-    lines = materialize(lines, "lines")
+    with spans.stage("records"):
+        lines = materialize(lines, "lines")
     if o.rotate_size or o.rotate_lines:
         sized = lines.withColumn("n_bytes", sink.line_bytes())
         numbered = sink.rotate_by_bytes(sized, keys, o.rotate_size or 1 << 62, o.rotate_lines).drop("n_bytes")
@@ -178,10 +224,12 @@ def extract(spark: SparkSession, o: argparse.Namespace, now: datetime) -> dict[s
     else:
         lines = lines.withColumn("file", F.lit(1).cast("long"))
     prefix = o.output_prefix or _name(o, url)
-    written = sink.write_json_lines(lines, o.output_dir, prefix, now.strftime("%Y%m%dT%H%M%SZ"))
+    with spans.stage("output") as counters:
+        written = sink.write_json_lines(lines, os.path.abspath(o.output_dir), prefix, now.strftime("%Y%m%dT%H%M%SZ"))
+        counters |= {"records": written["records"], "bytes": written["bytes"]}
     if o.state:
         state.write_state(o.state, state.next_state([r.asDict() for r in rows], path, stamp))
-    return written | {"commits": chosen.count(), "skipped": skipped, "warnings": warnings}
+    return written | {"commits": n_commits, "skipped": skipped, "warnings": warnings, "profile": spans.report(spark) if o.profile else []}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -199,7 +247,9 @@ def main(argv: list[str] | None = None) -> int:
         for warning in done["warnings"]:
             print(f"warning: {warning}", file=sys.stderr)
         elapsed = (datetime.now(timezone.utc) - began).total_seconds() * 1000
-        print(f"{format_count(done['records'])} records of {format_count(done['commits'])} commits in {done['files']} files, {format_elapsed(elapsed)}", file=sys.stderr)
+        for line in done["profile"]:
+            print(line, file=sys.stderr)
+        print(f"{format_count(done['records'])} records of {format_count(done['commits'])} commits in {done['files']} files, {format_size(done['bytes'])}, {format_count(done['skipped'])} diffs skipped, {format_elapsed(elapsed)}", file=sys.stderr)
     return 0
 
 

@@ -105,7 +105,7 @@ def check_config(config: Any) -> dict[str, Any]:
 
 
 def load_config(path: str) -> dict[str, Any]:
-    """Reads a configuration; relative paths in it are relative to its folder."""
+    """Reads a configuration; relative paths in it are relative to its folder, those of plugins with or without a function."""
     try:
         with open(path, encoding="utf-8") as file:
             config = check_config(json.load(file))

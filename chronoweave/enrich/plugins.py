@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 import json
 import logging
 import math
 import re
+import sys
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any, Protocol
@@ -47,6 +49,7 @@ def _check_scalar(value: Any) -> None:
         raise ValueError(f"not a scalar: {value!r}")
 
 
+# Fields of a profile that attributes can't have.
 RESERVED_ATTRIBUTES = frozenset({"name", "email", "attributes", "_debug"})
 
 
@@ -98,6 +101,7 @@ def identity_profiles(people: DataFrame, profiles: DataFrame, name: str = "name"
     )
 
 
+# Fixed value: the form of a conventional header.
 HEADER = r"^(\w*)(?:\(([\w$.\-*/ ]*)\))?!?: (.*)$"
 
 
@@ -116,6 +120,7 @@ CONVENTIONAL = T.StructType(
     + [T.StructField("notes", T.ArrayType(NOTE)), T.StructField("mentions", T.ArrayType(T.StringType())), T.StructField("references", T.ArrayType(REFERENCE))]
     + [T.StructField(n, T.StringType()) for n in ("type", "scope", "subject")]
 )
+# Words that close an issue.
 ACTIONS = ("close", "closes", "closed", "fix", "fixes", "fixed", "resolve", "resolves", "resolved")
 ISSUE = re.compile(r"(?:([\w.-]+)/)?([\w.-]+)?(#)([\w-]*\d+)")
 NOTES = re.compile(r"(BREAKING[ -]CHANGE)[:\s]+(.*)", re.I)
@@ -198,13 +203,21 @@ class Plugin(Protocol):
 
 @dataclass
 class Extension:
-    """A plugin under its namespace. ``column`` plugins are Catalyst expressions, others run row by row in Arrow batches."""
+    """A plugin under its namespace.
+
+    ``plugin`` is a Catalyst expression, a function from the records' columns to one, or a plugin that runs row by row in
+    Arrow batches.
+    """
 
     namespace: str
-    plugin: Plugin | Column
+    plugin: Plugin | Column | Callable[[list[str]], Column]
     failure_policy: str = "skip-fact"
     config: Any = field(default=None)
 
+    @property
+    def by_row(self) -> bool:
+        return hasattr(self.plugin, "project")
+
     def __post_init__(self) -> None:
         if not NAMESPACE.match(self.namespace):
             raise ValueError(f"invalid namespace {self.namespace!r}")
@@ -212,10 +225,36 @@ class Extension:
             raise ValueError(f"invalid failure policy {self.failure_policy!r}")
 
 
-def load_plugin(specifier: str, config: Any) -> Plugin:
-    """Calls the factory ``module:function`` with the configuration."""
-    module, _, name = specifier.partition(":")
-    made = getattr(importlib.import_module(module), name or "create_plugin")(config)
+#: Major version of the interface that plugins are written for.
+PLUGIN_API = 1
+
+
+def load_plugin(specifier: str, config: Any) -> Plugin | Callable[[list[str]], Column]:
+    """Calls a factory with the configuration: ``chronoweave:NAME``, ``module:function``, or ``/a/file.py:function``.
+
+    Without a function it is ``create_plugin``. A module that says in ``PLUGIN_API`` that it was written for another version
+    is used with a warning.
+    """
+    module_name, _, name = specifier.partition(":")
+    if module_name == "chronoweave":
+        from chronoweave.enrich.builtin import BUILTIN
+
+        if name not in BUILTIN:
+            raise ValueError(f"no built-in extension {name!r}: there are {', '.join(BUILTIN)}")
+        return BUILTIN[name](config)
+    if module_name.endswith(".py"):
+        found = importlib.util.spec_from_file_location(re.sub(r"\W", "_", module_name), module_name)
+        module = importlib.util.module_from_spec(found)
+        found.loader.exec_module(module)
+        from pyspark import cloudpickle  # the file is not on the workers' paths, so its code travels with the plugin
+
+        sys.modules[module.__name__] = module
+        cloudpickle.register_pickle_by_value(module)
+    else:
+        module = importlib.import_module(module_name)
+    if getattr(module, "PLUGIN_API", PLUGIN_API) != PLUGIN_API:
+        log.warning("%s was written for version %s of the plugin interface, this is %s", specifier, module.PLUGIN_API, PLUGIN_API)
+    made = getattr(module, name or "create_plugin")(config)
     if not callable(getattr(made, "project", None)):
         raise TypeError(f"{specifier} makes no plugin")
     return made
@@ -225,7 +264,7 @@ def init_all(extensions: list[Extension]) -> None:
     """Initialises all plugins and reports every failure before giving up."""
     failures = []
     for extension in extensions:
-        if not isinstance(extension.plugin, Column):
+        if extension.by_row:
             try:
                 extension.plugin.init({"warn": log.warning, "error": log.error})
             except Exception as error:  # noqa: BLE001
@@ -237,7 +276,8 @@ def init_all(extensions: list[Extension]) -> None:
 def run_plugin(extension: Extension, fact: Column) -> Column:
     """JSON of the plugin's value for a fact struct; null where it skips.
 
-    A plugin that raises counts as fatal. Under the policy ``fatal`` that ends the job; else the fact's value is null.
+    A plugin that raises counts as fatal. Under the policy ``fatal`` that ends the job; else the fact's value is null, and
+    the worker's log has a warning.
     """
     plugin, fatal = extension.plugin, extension.failure_policy == "fatal"
 
@@ -251,6 +291,8 @@ def run_plugin(extension: Extension, fact: Column) -> Column:
                 outcome = Outcome("fatal", str(error))
             if outcome.status == "fatal" and fatal:
                 raise RuntimeError(f"{extension.namespace} failed: {outcome.value}")
+            if outcome.status == "fatal":
+                logging.getLogger("chronoweave").warning("%s failed and is left out of a fact: %s", extension.namespace, outcome.value)
             out.append(json.dumps(outcome.value) if outcome.status == "success" else None)
         return pd.Series(out, dtype=object)
 
@@ -262,5 +304,6 @@ def enrich(records: DataFrame, extensions: list[Extension]) -> DataFrame:
     if not extensions:
         return records
     fact = F.struct(*records.columns)
-    fields = [(e.plugin if isinstance(e.plugin, Column) else F.parse_json(run_plugin(e, fact))).alias(e.namespace) for e in extensions]
+    made = lambda e: F.parse_json(run_plugin(e, fact)) if e.by_row else e.plugin if isinstance(e.plugin, Column) else e.plugin(records.columns)
+    fields = [made(e).alias(e.namespace) for e in extensions]
     return records.withColumn("extensions", F.struct(*fields))

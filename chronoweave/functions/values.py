@@ -84,5 +84,13 @@ def format_count(n: int) -> str:
     return f"{n:,}"
 
 
+def format_size(n: int) -> str:
+    """Bytes for people, as ``size_label`` has them."""
+    for shift, unit in ((30, "GB"), (20, "MB"), (10, "KB")):
+        if n >= 1 << shift:
+            return f"{n / (1 << shift):.1f}{unit}"
+    return f"{n}B"
+
+
 def format_elapsed(milliseconds: float) -> str:
     return f"{milliseconds / 1000:.1f}s"

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,27 +57,29 @@ def rotate_by_bytes(sizes: DataFrame, order: list[str], max_bytes: int, max_line
 def write_json_lines(lines: DataFrame, directory: str, prefix: str, stamp: str) -> dict[str, int]:
     """Writes (value, file) as ``prefix-stamp-NNNNNN.jsonl`` and returns the counts of files, records and bytes.
 
-    All files are written into a hidden folder and renamed only when everything is there; no lines, no files.
+    Each file is written by one task, as its lines are to be in one place; all go into a hidden folder and are renamed by
+    the file system only when everything is there. Nothing passes through the driver; no lines, no files.
     """
-    draft = os.path.join(directory, f".{prefix}-{stamp}.tmp")
-    shutil.rmtree(draft, ignore_errors=True)
+    spark = lines.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    draft = f"{directory.rstrip('/')}/.{prefix}-{stamp}.tmp"
+    fs = path(draft).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(path(draft), True)
     order = [c for c in lines.columns if c not in ("value", "file")]
-    laid = lines.repartition(F.col("file")).sortWithinPartitions("file", *order)
-    laid.select("file", "value").write.partitionBy("file").text(draft)
-    counts = {"files": 0, "records": 0, "bytes": 0}
-    for folder in sorted(os.listdir(draft)):
-        if not folder.startswith("file="):
-            continue
-        parts = sorted(p for p in os.listdir(os.path.join(draft, folder)) if p.startswith("part-"))
-        target = os.path.join(directory, f"{prefix}-{stamp}-{int(folder[5:]):06d}.jsonl")
-        with open(target + ".tmp", "wb") as out:
-            for part in parts:
-                with open(os.path.join(draft, folder, part), "rb") as source:
-                    shutil.copyfileobj(source, out)
-        os.replace(target + ".tmp", target)
-        counts["files"] += 1
-        counts["bytes"] += os.path.getsize(target)
-        with open(target, "rb") as written:
-            counts["records"] += sum(1 for _ in written)
-    shutil.rmtree(draft, ignore_errors=True)
-    return counts
+    laid = lines.repartition(F.col("file")).sortWithinPartitions("file", *order).select("file", "value")
+    counted = Observation(f"lines {stamp}")
+    laid = laid.observe(counted, F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(line_bytes()), F.lit(0)).alias("bytes"))
+    laid.write.partitionBy("file").text(draft)
+    folders = sorted(int(f.getPath().getName()[5:]) for f in fs.listStatus(path(draft)) if f.getPath().getName().startswith("file="))
+    for number in folders:
+        parts = [f.getPath() for f in fs.listStatus(path(f"{draft}/file={number}")) if f.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise RuntimeError(f"file {number} was written in {len(parts)} parts")
+        target = path(f"{directory.rstrip('/')}/{prefix}-{stamp}-{number:06d}.jsonl")
+        fs.delete(target, False)
+        if not fs.rename(parts[0], target):
+            raise RuntimeError(f"{target.toString()} could not be put in place")
+    fs.delete(path(draft), True)
+    got = counted.get if folders else {"records": 0, "bytes": 0}
+    return {"files": len(folders), "records": got["records"], "bytes": got["bytes"]}

@@ -145,3 +145,54 @@ def test_paths_are_relative_to_the_configuration(tmp_path):
     got = config.load_config(str(file))
     assert got["output"]["directory"] == str(tmp_path / "out") and got["extensions"]["a"]["entrypoint"] == str(tmp_path / "p.py") and got["extensions"]["b"]["entrypoint"] == "pkg:make"
     assert got["extensions"]["b"]["failurePolicy"] == "skip-fact" and got["runtime"]["gitAdapter"] == "isomorphic-git"
+
+
+def test_names_that_only_git_resolves(repository, tmp_path, capsys):
+    path, oids = repository
+    run(path, "update-ref", "refs/remotes/origin/side", oids[2])
+    for name, n in (("HEAD", 6), ("origin/side", 2), (oids[1][:12], 2), ("main~2", 4)):
+        out = tmp_path / name.replace("/", "_")
+        out.mkdir()
+        assert cli.main([str(path), "-r", name, "-o", str(out), "-q"]) == 0 and len(records(out)) == n, name
+    assert cli.main([str(path), "-r", "main", "--since-ref", "no-such", "-o", str(tmp_path)]) == 1 and "REF_NOT_FOUND" in capsys.readouterr().err
+    assert cli.main([str(tmp_path), "-r", "main", "-o", str(tmp_path)]) == 1
+
+
+def test_all_extensions_from_one_configuration(spark, repository, tmp_path, capsys):
+    path, oids = repository
+    (tmp_path / "out").mkdir()
+    (tmp_path / "p.py").write_text(
+        "class Own:\n    def __init__(self, config):\n        self.config = config\n    def init(self, runtime):\n        pass\n"
+        "    def project(self, fact):\n        from chronoweave.enrich.plugins import Outcome\n        return Outcome('success', {'n': len(fact['message']) + self.config['more']})\n"
+        "def create_plugin(config):\n    return Own(config)\n"
+    )
+    profiles = [{"matchEmail": "a@x", "name": "Ann", "email": "ann@x", "team": "t1"}, {"matchName": "C O", "name": "Cor", "email": "cor@x"}]
+    extensions = {
+        "own": {"entrypoint": "./p.py", "config": {"more": 100}}, "assay": {"entrypoint": "chronoweave:assay-metrics"}, "team": {"entrypoint": "chronoweave:custom-field", "config": {"value": "core"}},
+        "type": {"entrypoint": "chronoweave:file-type", "config": {"mappings": {"*.md": "Notes"}, "unknownPolicy": "skip", "debug": True}},
+        "who": {"entrypoint": "chronoweave:identity-profile", "config": {"attributeFields": ["team"], "profileMappings": profiles}}, "cc": {"entrypoint": "chronoweave:conventional-commits"},
+    }
+    settings = tmp_path / "c.json"
+    settings.write_text(json.dumps({"version": 1, "output": {"directory": "out"}, "runtime": {"profile": True}, "extensions": extensions}))
+    assert cli.main([str(path), "-r", "main", "--per-file", "-c", str(settings)]) == 0
+    said = capsys.readouterr().err
+    assert all(stage in said for stage in ("commits", "reachability", "changes", "records", "output", "records=7", "1 diffs skipped"))
+    got = {(r["oid"], r["file"]["path"]): r["extensions"] for r in records(tmp_path / "out")}
+    one = got[oids[0], "a.txt"]
+    assert one["own"] == {"n": 116} and one["assay"] == {"delta": 2, "churn": 2, "net-change": 2} and one["team"] == "core" and one["cc"]["type"] == "feat"
+    assert one["who"] == {"author": {"name": "Ann", "email": "ann@x", "attributes": {"team": "t1"}}, "committer": {"name": "Cor", "email": "cor@x"}}
+    assert got[oids[2], "d.md"]["type"] == {"name": "Notes", "_debug": {"source": "user", "matched": "*.md"}} and got[oids[0], "b.bin"]["assay"]["delta"] is None
+    for wrong in ({"unknownPolicy": "x"}, {"ruleSets": ["a"]}, {"extra": 1}, {"debug": 1}, {"mappings": {"*": ""}}):
+        settings.write_text(json.dumps({"version": 1, "output": {"directory": "out"}, "extensions": {"type": {"entrypoint": "chronoweave:file-type", "config": wrong}}}))
+        assert cli.main([str(path), "-r", "main", "-c", str(settings), "-q"]) == 1
+
+
+def test_line_counts_come_with_the_changes(spark, repository):
+    path, oids = repository
+    spark.dataSource.register(git.GitDataSource)
+    read = lambda **o: {(oids.index(r.oid), r.path): (r.status, r.additions, r.deletions, r.skipped) for r in spark.read.format("git").options(path=str(path), table="line_changes", **o).load().collect()}
+    assert read() == {
+        (0, "a.txt"): ("added", 2, 0, None), (0, "b.bin"): ("added", None, None, "binary"), (1, "a.txt"): ("modified", 2, 1, None), (1, "c.ts"): ("added", 1, 0, None), (2, "d.md"): ("added", 1, 0, None),
+        (3, "d.md"): ("added", 1, 0, None), (5, "a.txt"): ("deleted", 0, 3, None),
+    }
+    assert read(most_bytes="2", head="main", exclude="side")[1, "a.txt"] == ("modified", None, None, "size") and set(read(since="1700000250")) == {(5, "a.txt")}
