@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -108,6 +109,7 @@ def address_parts(email: str | None) -> tuple[str, str]:
     return (local.split("+")[0] or local), domain
 
 
+@lru_cache(1 << 16)
 def near(a: str, b: str) -> bool:
     """Equal but for a typo or two, by length."""
     if a == b:
@@ -127,6 +129,7 @@ def near(a: str, b: str) -> bool:
     return last[-1] <= limit
 
 
+@lru_cache(1 << 16)
 def sounded(token: str) -> str:
     """A token with the spellings that change on the way through another script made equal."""
     for spelled, plain_ in SOUNDS:
@@ -328,6 +331,7 @@ def _candidates(vectors: DataFrame, weights: Broadcast) -> DataFrame:
     return postings.mapInArrow(_similar_names(weights), "a string, b string").filter("a <> b").distinct()
 
 
+@lru_cache(1 << 18)
 def alike(x: str, y: str) -> bool:
     """Whether two tokens can be spellings of one: equal but for typos, an initial, a beginning, or by sound."""
     if x[0] == y[0] and (len(x) == 1 or len(y) == 1):
