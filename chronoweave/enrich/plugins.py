@@ -216,7 +216,7 @@ class Extension:
 
     @property
     def by_row(self) -> bool:
-        return hasattr(self.plugin, "project")
+        return not isinstance(self.plugin, Column) and hasattr(self.plugin, "project")
 
     def __post_init__(self) -> None:
         if not NAMESPACE.match(self.namespace):

@@ -223,6 +223,26 @@ def intervals(nodes: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
     return joined.select("node", "parent", "root", "depth", "enter", (F.col("enter") + F.col("n_descendants")).alias("leave"))
 
 
+def descendants(nodes: DataFrame, queries: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """(node, descendant, steps) for each node of ``queries``: all nodes below it, with how many links lie between.
+
+    Lists are as long as the subtrees, so they come for a stated set of nodes; ``intervals`` has those of all nodes in one
+    row each. Intervals of a tree are laid out in cells, so that a query meets only the cells that it covers, by equality.
+    Nodes whose line never ends have no interval and none are listed for them; unknown nodes have none either.
+    """
+    placed = materialize(intervals(nodes, block_nodes).filter("depth >= 0").select("node", "root", "depth", "enter", "leave"), "intervals")
+    cell = lambda c: F.floor(c / DESCENDANT_CELL)
+    asked = placed.join(queries.select("node").distinct(), "node").filter("leave > enter")
+    covered = F.explode(F.sequence(cell(F.col("enter") + 1), cell(F.col("leave"))))
+    asked = asked.select(F.col("node").alias("q"), "root", F.col("depth").alias("q_depth"), F.col("enter").alias("q_enter"), "leave", covered.alias("cell"))
+    below = placed.select(F.col("node").alias("descendant"), "root", "depth", "enter", cell(F.col("enter")).alias("cell"))
+    met = asked.join(below, ["root", "cell"]).filter((F.col("enter") > F.col("q_enter")) & (F.col("enter") <= F.col("leave")))
+    return met.select(F.col("q").alias("node"), "descendant", (F.col("depth") - F.col("q_depth")).alias("steps"))
+
+
+DESCENDANT_CELL = 10_000
+
+
 def _subtree_sums(forest: DataFrame, block_nodes: int) -> DataFrame:
     """(node, weight): sums of weights over whole subtrees."""
     n = forest.count()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoweave.operators.keyed_chunks import NUMBER
+from chronoweave.storage import materialize
 
 
 def line_bytes(value: str = "value") -> F.Column:
@@ -23,12 +24,16 @@ def rotate_by_lines(lines: DataFrame, order: list[str], max_lines: int) -> DataF
 
 
 def _numbered(lines: DataFrame, order: list[str]) -> DataFrame:
-    """Global row numbers of a total order: ranges are sorted on their own and offset by the counts of those before."""
-    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return local.join(offsets.select("_part", "_before"), "_part").withColumn(NUMBER, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before")
+    """Global row numbers of a total order: ranges are sorted on their own and offset by the counts of those before.
+
+    The sorted ranges are written once, with a number that says range and place in it; nothing is shuffled or sorted again.
+    """
+    ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = materialize(ranged, "ranged").withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(NUMBER, place + F.col("_before")).drop("_part", "_id", "_before")
 
 
 def rotate_by_bytes(sizes: DataFrame, order: list[str], max_bytes: int, max_lines: int | None = None) -> DataFrame:

@@ -445,9 +445,9 @@ checkpoints AS (SELECT 'refs/heads/' || repository_name AS ref, 'branch' AS ref_
 _CHANGES = """changes AS (SELECT commit_oid AS oid, file.path AS path, arg_max(file, extracted_at) AS f FROM file_change_facts GROUP BY 1, 2)"""
 
 _TREES = """n AS (SELECT o_orderkey AS k FROM orders), js AS (SELECT unnest(range(0, 8)) AS j),
-trees AS (SELECT k, 'src/p' || j || CASE j % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.d.ts' WHEN 2 THEN '.PY' ELSE '.unmapped' END AS path, j || ':' || ((k + j) // (j + 2)) AS blob,
+trees AS MATERIALIZED (SELECT k, 'src/p' || j || CASE j % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.d.ts' WHEN 2 THEN '.PY' ELSE '.unmapped' END AS path, j || ':' || ((k + j) // (j + 2)) AS blob,
   CASE WHEN (k + j) % 13 = 0 THEN '160000' WHEN (k * j) % 11 = 0 AND j > 0 THEN '100755' ELSE '100644' END AS mode FROM n, js WHERE (k + j) % 6 <> 0),
-blobs AS (SELECT * FROM trees WHERE mode <> '160000')"""
+blobs AS MATERIALIZED (SELECT * FROM trees WHERE mode <> '160000')"""
 
 
 def _tree_sql(where: str) -> str:
@@ -457,10 +457,10 @@ diff AS (SELECT CAST(coalesce(c.k, p.k) AS VARCHAR) AS oid, coalesce(c.path, p.p
   FROM cur c FULL OUTER JOIN prev p ON c.k = p.k AND c.path = p.path WHERE c.blob IS DISTINCT FROM p.blob OR c.mode IS DISTINCT FROM p.mode)"""
 
 
-def _file_type_sql() -> str:
+def _file_type_sql(user: list[tuple[str, str]] = USER_RULES) -> str:
     """The rules as a table: the user's before the common, base names before suffixes, longer suffixes before shorter ones."""
     rows = []
-    for rank, (source, rules) in enumerate((("user", USER_RULES), ("common", file_types.parse_rules(file_types.COMMON)))):
+    for rank, (source, rules) in enumerate((("user", user), ("common", file_types.parse_rules(file_types.COMMON)))):
         bases, suffixes = file_types.check_rules(rules)
         rows += [f"({2 * rank}, '{k}', '{v}', '{source}')" for k, v in bases.items()] + [f"({2 * rank + 1}, '{k}', '{v}', '{source}')" for k, v in suffixes.items()]
     return f"""WITH rules(rank, key, name, source) AS (VALUES {', '.join(rows)}),
@@ -471,6 +471,13 @@ SELECT p.path, coalesce(h.name, CASE WHEN p.path IS NOT NULL THEN 'Unknown' END)
 FROM paths p LEFT JOIN hits h ON h.path = p.path AND h.place = 1"""
 
 
+def _person_sql(side: str) -> str:
+    when = _iso_sql(f'{side}."timestamp"', f"{side}.timezone_offset")
+    return f"{side} := struct_pack(name := {side}.name, email := {side}.email, \"timestamp\" := {when})"
+
+
+_RECORD = f"oid := oid, message := message, {_person_sql('author')}, {_person_sql('committer')}, parents := parents, repository := struct_pack(name := repository.name, url := repository.url)"
+
 _HEADER = plugins.HEADER
 
 
@@ -526,6 +533,14 @@ CASE WHEN email = 'ilka.dorvenar@tarnhub.example' THEN 'core' WHEN email = 'merg
     "conventional_headers": f"""WITH {_HELD}, h AS (SELECT oid, replace(split_part(message, chr(10), 1), chr(13), '') AS header FROM held), f AS (SELECT oid, header, regexp_matches(header, '{_HEADER}') AS fits FROM h)
 SELECT oid, {_header_part(1)} AS type, {_header_part(2)} AS scope, {_header_part(3)} AS subject FROM f""",
     "rotation_by_lines": f"WITH {_HELD}, r AS (SELECT oid, (row_number() OVER (ORDER BY oid) - 1) // 250 + 1 AS file FROM held) SELECT file, count(*) AS n_lines, min(oid) AS first_oid FROM r GROUP BY 1",
+    "rotation_by_bytes": f"""WITH RECURSIVE {_HELD}, l AS MATERIALIZED (SELECT row_number() OVER (ORDER BY oid) AS i, strlen(CAST(to_json(struct_pack({_RECORD})) AS VARCHAR)) + 1 AS n FROM held),
+r AS (SELECT CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS file, CAST(n AS BIGINT) AS b, CAST(n AS BIGINT) AS n FROM l WHERE i = 1
+      UNION ALL SELECT l.i, CASE WHEN r.b >= 65536 THEN r.file + 1 ELSE r.file END, CASE WHEN r.b >= 65536 THEN l.n ELSE r.b + l.n END, l.n FROM r JOIN l ON l.i = r.i + 1)
+SELECT file, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS n_bytes FROM r GROUP BY file""",
+    "enriched_file_records": f"""WITH {_HELD}, {_CHANGES}, types AS ({_file_type_sql([])}), found AS (SELECT h.*, c.path AS path, c.f AS f, t.name AS type FROM held h JOIN changes c USING (oid) JOIN types t ON t.path IS NOT DISTINCT FROM c.path)
+SELECT CAST(to_json(struct_pack({_RECORD}, file := struct_pack(path := path, status := f.status, additions := f.additions, deletions := f.deletions),
+  extensions := struct_pack(assay := struct_pack(delta := f.additions - f.deletions, churn := f.additions + f.deletions, "net-change" := CASE WHEN f.additions IS NOT NULL AND f.deletions IS NOT NULL THEN greatest(f.additions, f.deletions) END),
+    "file-type" := struct_pack(name := type)))) AS VARCHAR) AS value FROM found""",
     "span_summary": """SELECT event_type AS name, CAST(epoch_us(min(ts)) AS BIGINT) AS first_started, count(*) AS n_spans, round(sum(value), 2) AS total_ms, max(value) AS max_ms, CAST(count(*) FILTER (WHERE value > 100) AS BIGINT) AS n_errors,
 array_to_string(list_sort(list(DISTINCT CAST(user_id % 10 AS VARCHAR))), ',') AS attributes, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1""",
     "run_counters": f"WITH {_CHANGES} SELECT count(*) AS records, count(DISTINCT oid) AS commits, count(*) FILTER (WHERE f.additions IS NULL) AS skipped_diffs FROM changes",

@@ -120,6 +120,23 @@ WITH RECURSIVE held AS (SELECT oid, arg_max(struct_pack(p := parents[1]), extrac
 SELECT oid, root_oid, depth FROM down
 UNION ALL
 SELECT w.oid, min(w.place), CAST(-1 AS BIGINT) FROM walk w JOIN loops c ON w.place = c.oid GROUP BY w.oid
+""",
+    "p5_paths": """
+WITH RECURSIVE held AS (SELECT oid, arg_max(struct_pack(p := parents[1]), extracted_at).p AS parent FROM commit_facts WHERE oid IS NOT NULL GROUP BY oid),
+     links AS MATERIALIZED (SELECT a.oid, b.oid AS parent FROM held a LEFT JOIN held b ON a.parent = b.oid),
+     down AS (SELECT oid, oid AS root, CAST(0 AS BIGINT) AS depth FROM links WHERE parent IS NULL
+              UNION ALL SELECT l.oid, d.root, d.depth + 1 FROM down d JOIN links l ON l.parent = d.oid),
+     trees AS MATERIALIZED (SELECT d.oid, d.root, d.depth, l.parent FROM down d JOIN links l USING (oid)),
+     above AS (SELECT oid, parent AS anc FROM trees WHERE parent IS NOT NULL UNION ALL SELECT a.oid, t.parent FROM above a JOIN trees t ON t.oid = a.anc WHERE t.parent IS NOT NULL),
+     sizes AS MATERIALIZED (SELECT t.oid, t.root, t.depth, t.parent, coalesce(c.n, 0) AS n FROM trees t LEFT JOIN (SELECT anc, count(*) AS n FROM above GROUP BY 1) c ON c.anc = t.oid),
+     steps AS MATERIALIZED (SELECT oid, parent, CAST(1 + coalesce(sum(n + 1) OVER (PARTITION BY parent ORDER BY oid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS step FROM sizes WHERE parent IS NOT NULL),
+     entered AS (SELECT oid, CAST(0 AS BIGINT) AS enter FROM trees WHERE parent IS NULL UNION ALL SELECT s.oid, e.enter + s.step FROM entered e JOIN steps s ON s.parent = e.oid),
+     lost AS (SELECT oid, parent FROM links WHERE oid NOT IN (SELECT oid FROM trees)),
+     walk AS (SELECT oid, parent AS place FROM lost UNION SELECT w.oid, l.parent FROM walk w JOIN lost l ON w.place = l.oid),
+     loops AS (SELECT oid FROM walk WHERE oid = place)
+SELECT s.oid, s.parent AS parent_oid, s.root AS root_oid, s.depth, e.enter, CAST(e.enter + s.n AS BIGINT) AS leave FROM sizes s JOIN entered e USING (oid)
+UNION ALL
+SELECT w.oid, any_value(l.parent), min(w.place), CAST(-1 AS BIGINT), NULL, NULL FROM walk w JOIN loops c ON w.place = c.oid JOIN lost l ON l.oid = w.oid GROUP BY w.oid
 """,
     "p5_descendants": """
 WITH RECURSIVE held AS (SELECT oid, arg_max(struct_pack(p := parents[1]), extracted_at).p AS parent FROM commit_facts WHERE oid IS NOT NULL GROUP BY oid),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where a session names none (local tests) a temporary folder is made and set as the checkpoint folder.
+    Only where a local session names none (tests) a temporary folder is made and set as the checkpoint folder. A cluster's
+    executors can't reach such a folder, so there a session without one is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -239,3 +239,42 @@ def test_what_is_written_follows_the_batch(spark):
     late = [(f"l{t}", "a", t) for t in range(99_900, 100_100, 50)]
     table.apply(spark.createDataFrame(late, "event_id string, key string, ts bigint"))
     assert rows(table.read()) == brute_sessions(sorted({*((i, k, t) for i, k, t in events), ("new", "a", 95_050), *late}), 100)
+
+
+def test_descendants_of_stated_nodes(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "DESCENDANT_CELL", 7)
+    rng = random.Random(3)
+    parent = {f"n{i:03d}": f"n{rng.randrange(max(0, i - 9), i):03d}" if i % 60 else None for i in range(150)} | {"x": "y", "y": "x", "z": "x"}
+    df = spark.createDataFrame([(n, p, rng.randrange(150)) for n, p in parent.items()], "node string, parent string, place int")
+    asked = ["n000", "n003", "n060", "n149", "x", "gone"]
+    want = set()
+    for n in parent:
+        above, steps = parent[n], 1
+        while above is not None and steps < 200:
+            want |= {(above, n, steps)} if above in asked and above[0] == "n" else set()
+            above, steps = parent[above], steps + 1
+    assert {tuple(r) for r in hierarchy.descendants(df, spark.createDataFrame([(a,) for a in asked], "node string")).collect()} == want
+
+
+def test_the_offsets_join_needs_no_broadcast(spark, tmp_path):
+    """Beyond the session's broadcast threshold the offsets of long keys are joined by sorting, with the same result."""
+    spark.range(5_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")).repartition(7).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = rows(keyed_chunks.per_key(df, ["k"], ["v"], chunk_rows=100))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        done = keyed_chunks.per_key(df, ["k"], ["v"], chunk_rows=100)
+        assert "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString() and rows(done) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace as Fake
+
+    from chronoweave import storage
+
+    context = Fake(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Fake(conf=Fake(get=lambda name, default: default), sparkContext=context))
