@@ -50,7 +50,8 @@ def shingle_hashes(codes: np.ndarray, lengths: np.ndarray, width: int = SHINGLE)
         value = mix(value * np.uint64(31)) if k else value
         value[there] += scrambled[(place + k)[there]] * np.uint64(2 * k + 1)
     whole = (place + width <= last) | (place == last - lengths[owner]) if len(owner) else np.zeros(0, bool)
-    pairs = np.unique(owner[whole].astype(np.uint64) << np.uint64(32) | mix(value[whole]) >> np.uint64(32))
+    pairs = np.sort(owner[whole].astype(np.uint64) << np.uint64(32) | mix(value[whole]) >> np.uint64(32))
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
     return (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
 
 
