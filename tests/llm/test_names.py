@@ -104,7 +104,7 @@ def made(spark, rows):
 def test_the_join_loses_no_pair(spark, monkeypatch, block):
     """All pairs of the all-pairs cosine are among the candidates, also where posting lists fall into many blocks."""
     monkeypatch.setattr(names, "BLOCK", block)
-    rows, _ = people(5, 90)
+    rows, _ = people(5, 70)
     rows += [(1000 + i, n, "desk@a.example") for i, n in enumerate(("Ona Trelk", "Rud Vasker", "Min Holquafen", "Ona Trellk", "Pia Loresk"))]
     vectors, weights = made(spark, rows)
     records = [r.asDict() for r in vectors.collect()]
@@ -118,11 +118,11 @@ def test_the_join_loses_no_pair(spark, monkeypatch, block):
             if c >= names.THRESHOLD and not (x["crowded"] and not x["ng"] or y["crowded"] and not y["ng"]):
                 all_ += 1
                 missing += tuple(sorted((x["node"], y["node"]))) not in found
-    assert all_ > 80 and missing == 0
+    assert all_ > 50 and missing == 0
 
 
 def test_large_components_come_out_like_small_ones(spark):
-    rows, _ = people(7, 60)
+    rows, _ = people(7, 30)
     df = materialize(spark.createDataFrame(rows, "identity_id bigint, name string, email string"), "people")
     groups = lambda done: {frozenset(r.ids) for r in done.groupBy("group").agg(names.F.collect_list("identity_id").alias("ids")).collect()}
     assert groups(names.link_identities(df)) == groups(names.link_identities(df, local_component=1))
