@@ -164,11 +164,11 @@ def extract(spark: SparkSession, o: argparse.Namespace, now: datetime) -> dict[s
         commits = materialize(_source(spark, path, "commits", head=heads) if heads else _source(spark, path, "commits").limit(0), "commits")
         counters["commits"] = commits.count()
     requested = spark.createDataFrame(list(enumerate(o.ref)), "ref_index int, name string")
-    refs = _source(spark, path, "refs").select("full_name", "peeled_oid", "is_tag_object")
-    known = {r["full_name"] for r in refs.select("full_name").collect()}
+    listed = [(name, peeled, tag) for name, _, _, peeled, tag in git.list_refs(path)]  # two git processes, a row a ref
+    known = {name for name, *_ in listed}
     # other names that git resolves: HEAD, remote branches, short oids
     others = [(n, wanted[n], False) for n in dict.fromkeys(o.ref) if n in wanted and not {n, f"refs/heads/{n}", f"refs/tags/{n}"} & known and n != wanted[n]]
-    refs = refs.unionByName(spark.createDataFrame(others, "full_name string, peeled_oid string, is_tag_object boolean"))
+    refs = spark.createDataFrame(listed + others, "full_name string, peeled_oid string, is_tag_object boolean")
     resolved = materialize(planning.resolve_refs(requested, refs, commits), "resolved")
     warnings += [f"ref {r['name']} was not found and is skipped" for r in planning.missing_refs(resolved).collect()]
     checkpoints = state.checkpoints(spark, prior)

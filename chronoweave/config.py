@@ -65,6 +65,25 @@ SHAPE: dict[str, Any] = {
 EXTENSION = {"entrypoint": _text, "config": lambda v: None, "failurePolicy": _one_of("skip-fact", "fatal")}
 
 
+def json_schema() -> dict[str, Any]:
+    """The form of a configuration as JSON Schema, for editors; what it can't say, ``check_config`` still refuses."""
+    text = {"type": "string", "minLength": 1}
+    special: dict[str, dict[str, Any]] = {"version": {"const": 1}, "gitAdapter": {"enum": ["isomorphic-git", "git-cli"]}}
+    size = {"type": "string", "pattern": "^[0-9]+[KMGkmg]?$"}
+    leaves: dict[Any, dict[str, Any]] = {_text: text, _texts: {"type": "array", "items": text, "minItems": 1}, _flag: {"type": "boolean"}, _lines: {"type": "integer", "minimum": 1}, _size: size, _moment: {"type": "string", "format": "date-time"}}
+
+    def of(shape: Any, at: str) -> dict[str, Any]:
+        if isinstance(shape, dict):
+            return {"type": "object", "additionalProperties": False, "properties": {key: of(entry, key) for key, entry in shape.items()}}
+        return special[at] if at in special else leaves[shape]
+
+    extension = {"type": "object", "additionalProperties": False, "required": ["entrypoint"], "properties": {"entrypoint": text, "config": {}, "failurePolicy": {"enum": ["skip-fact", "fatal"]}}}
+    special |= {"extensions": {"type": "object", "propertyNames": {"pattern": "^[a-z0-9-]+$"}, "additionalProperties": extension}}
+    schema = of(SHAPE, "")
+    schema["properties"]["extraction"]["properties"]["range"] |= {"minProperties": 1, "maxProperties": 1}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "required": ["version"], **schema}
+
+
 def _check(value: Any, shape: Any, path: str, problems: list[str]) -> None:
     if callable(shape):
         if said := shape(value):

@@ -196,3 +196,10 @@ def test_line_counts_come_with_the_changes(spark, repository):
         (3, "d.md"): ("added", 1, 0, None), (5, "a.txt"): ("deleted", 0, 3, None),
     }
     assert read(most_bytes="2", head="main", exclude="side")[1, "a.txt"] == ("modified", None, None, "size") and set(read(since="1700000250")) == {(5, "a.txt")}
+
+
+def test_the_schema_has_what_the_check_has():
+    schema = config.json_schema()
+    json.dumps(schema)
+    assert set(schema["properties"]) == set(config.SHAPE) and schema["properties"]["output"]["properties"]["rotation"]["properties"]["lines"] == {"type": "integer", "minimum": 1}
+    assert schema["properties"]["extensions"]["additionalProperties"]["required"] == ["entrypoint"] and schema["properties"]["runtime"]["properties"]["gitAdapter"]["enum"][0] == "isomorphic-git"
