@@ -251,10 +251,12 @@ def binary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a NUL put in at byte doc_id * 100: only one within the first 8,000 bytes makes a file binary."""
     documents = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     raw = F.encode("text", "UTF-8")
-    at = (F.col("doc_id") * 100).cast("int")
-    with_nul = F.concat(F.substring(raw, F.lit(1), at), F.unhex(F.lit("00")), F.substring(raw, at + 1, F.octet_length(raw)))
-    content = F.when(at < F.octet_length(raw), with_nul).otherwise(raw)
-    return documents.select("doc_id", changes.is_binary(content).alias("is_binary"))
+    size = F.octet_length(raw)
+    # ids of any size: what lies beyond the text is cut to its end before it is multiplied or made an int
+    at = F.least(F.least(F.greatest("doc_id", F.lit(-1)), size) * 100, size).cast("int")
+    with_nul = F.concat(F.substring(raw, F.lit(1), at), F.unhex(F.lit("00")), F.substring(raw, at + 1, size))
+    content = F.when(at < size, with_nul).otherwise(raw)
+    return documents.select("doc_id", F.when(F.col("doc_id").isNotNull(), changes.is_binary(content)).alias("is_binary"))
 
 
 def line_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

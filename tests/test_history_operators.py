@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoweave.enrich import file_types, plugins
 from chronoweave.functions import values
 from chronoweave.operators import changes, graph, planning, project, sink, state
+from chronoweave.plans import history_queries
 
 
 def brute(parents, starts):
@@ -156,6 +157,17 @@ def test_guards(spark):
     assert sized == {1: "binary", 2: "size", 3: None, 4: "size", 5: None}
 
 
+def test_binary_documents_of_any_id(spark, tmp_path):
+    """Ids beyond an int, below zero and null give what the SQL says; a NUL beyond byte 8,000 or the text's end doesn't count."""
+    ids = [-(2**63), -1, 0, 1, 79, 80, 21_474_836, 21_474_837, 2**63 - 1, None]
+    texts = ["", "a", "x" * 200, "ö" * 9_000]
+    rows = [(i, t) for i in ids for t in texts] + [(7, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.is_binary) for r in history_queries.binary_documents(spark, str(tmp_path)).collect()]
+    want = [(i, None if i is None else i * 100 < min(8_000, len(t.encode()))) for i, t in rows if t is not None]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_tree_changes(spark):
     trees = [("c", "a", "1", "100644"), ("c", "b", "2", "100755"), ("c", "l", "9", "160000"), ("p", "a", "1", "100644"), ("p", "b", "2", "100644"), ("p", "old", "3", "120000"), ("p", "l", "4", "100644")]
     got = changes.tree_changes(spark.createDataFrame(trees, "oid string, path string, blob_oid string, mode string"), spark.createDataFrame([("c", ["p", "q"]), ("p", [])], "oid string, parents array<string>"))
